@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from assayer.llm import simhash
+from assayer.llm import quality, simhash, url_rules
 
-QUERIES: dict = {"op4_simhash": simhash.op4_simhash}
+_MODULES = (simhash, url_rules, quality)
+
+QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in _MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES

@@ -263,3 +263,7 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id")
     )
+
+
+QUERIES = {"op4_simhash": op4_simhash}
+ORACLES: dict[str, str] = {}
