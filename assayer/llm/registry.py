@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.llm import quality, simhash, url_rules
+from assayer.llm import mixing, quality, simhash, url_rules
 
-_MODULES = (simhash, url_rules, quality)
+_MODULES = (simhash, url_rules, quality, mixing)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
