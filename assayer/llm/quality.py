@@ -65,7 +65,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: f
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id", F.lit(True).alias("good")).distinct()
     grams = docs.select("doc_id", F.transform(words_of(F.col("text")), lambda w: bucket(w, buckets).cast("short")).alias("b"))
     counts = (
-        grams.join(good, "doc_id", "left")
+        grams.join(good.hint("merge"), "doc_id", "left")  # labels grow with the corpus: one plan for every size
         .select(F.explode("b").alias("bucket"), F.coalesce("good", F.lit(False)).alias("good"))
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("target"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.llm import licenses, mixing, quality, simhash, url_rules
+from assayer.llm import licenses, media, mixing, quality, simhash, url_rules
 
-_MODULES = (licenses, simhash, url_rules, quality, mixing)
+_MODULES = (licenses, simhash, url_rules, media, quality, mixing)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
