@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.llm import licenses, media, mixing, quality, simhash, token_counts, url_rules
+from assayer.llm import chat, licenses, media, mixing, quality, simhash, token_counts, url_rules
 
-_MODULES = (licenses, simhash, url_rules, token_counts, media, quality, mixing)
+_MODULES = (chat, licenses, simhash, url_rules, token_counts, media, quality, mixing)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
