@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.llm import chat, lattice, licenses, media, mixing, quality, simhash, token_counts, url_rules
+from assayer.llm import chat, lattice, licenses, media, mixing, quality, secrets, simhash, token_counts, url_rules
 
-_MODULES = (lattice, chat, licenses, simhash, url_rules, token_counts, media, quality, mixing)
+_MODULES = (lattice, chat, licenses, simhash, url_rules, token_counts, media, quality, mixing, secrets)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
