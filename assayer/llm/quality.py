@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: f
 
 
 def repeated_words(words: Column) -> Column:
-    """Words that lie in a 3-word window which the text has twice or more."""
+    """Words that lie in a 3-word window which the text has twice or more (``words`` must be bound by ``let``)."""
     windows = F.when(
         F.size(words) >= 3,
         F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1))),
@@ -118,28 +118,37 @@ def judge(docs: DataFrame, model: RatioModel, text_col: str = "text") -> DataFra
     text = docs[text_col]
     names = [c for c in docs.columns if c not in RESULT_COLUMNS or c == text_col]
     lookup = model.lookup()
-    counted = docs.select(
+    # one value holds all that needs the words: a filter on it that the optimizer
+    # moves down then carries one expression, not one for each use of the words
+    counts = let(
+        words_of(text),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n"),
+            repeated_words(w).alias("again"),
+            F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.get(lookup, bucket(x, len(model.ratios)))).alias("sum"),
+        ),
+    )
+    limit = F.lit(math.floor(model.threshold * SCALE)).cast("long")
+
+    def verdict(c: Column) -> Column:
+        failed = (c["n"] < MIN_WORDS) | (100 * c["again"] > MAX_REPEAT_PERCENT * c["n"])
+        score = F.when(c["n"] > 0, c["sum"] / c["n"] / SCALE).otherwise(0.0)
+        return F.struct(
+            c["n"].alias("n_words"), c["again"].alias("n_repeat_words"), failed.alias("base_failed"),
+            score.alias("score"), (~failed & (c["sum"] >= limit * c["n"])).alias("kept"),
+        )
+
+    judged = docs.select(
         *[docs[c] for c in names],
-        words_of(text).alias("__w"),
         word_chars(text).alias("word_chars"),
         ascii_count(text, SYMBOLS).alias("n_symbols"),
         repeated_lines(text).alias("n_dup_lines"),
+        let(counts, verdict).alias("__v"),
     )
-    w = F.col("__w")
-    scored = counted.select(
-        *names,
-        F.size(w).cast("long").alias("n_words"),
-        "word_chars", "n_symbols", "n_dup_lines",
-        repeated_words(w).alias("n_repeat_words"),
-        F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.get(lookup, bucket(x, len(model.ratios)))).alias("__sum"),
-    )
-    n = F.col("n_words")
-    failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
-    passed = F.col("__sum") >= F.lit(math.floor(model.threshold * SCALE)).cast("long") * n
-    score = F.when(n > 0, F.col("__sum") / n / SCALE).otherwise(0.0)
-    return scored.select(
-        *names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), score.alias("score"), (~failed & passed).alias("kept"),
+    v = F.col("__v")
+    return judged.select(
+        *names, v["n_words"].alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", v["n_repeat_words"].alias("n_repeat_words"),
+        v["base_failed"].alias("base_failed"), v["score"].alias("score"), v["kept"].alias("kept"),
     )
 
 
