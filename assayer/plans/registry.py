@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.plans import scoring
+from assayer.plans import analysis, scoring
 
-_MODULES = (scoring,)
+_MODULES = (scoring, analysis)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
