@@ -20,8 +20,8 @@ only those are kept. The (k+1)-th key is the threshold kappa of the inclusion
 score 1 - exp(-exp(log p - kappa)).
 
 No piece reaches over the start of a run of spaces behind another character,
-so the lattice falls into units there. Units are built once for each distinct
-unit of a batch, and one search round runs for all texts of a batch at once in
+so the lattice falls into units there (a run of over 64 characters or 16 spaces
+is cut as well). The distinct units of a batch are built together, and one search round runs for all texts of a batch at once in
 numpy. Uniform numbers are a hash of (row key, seed, sample, place), and log
 probabilities are whole numbers (2^-30), so results depend neither on batches
 nor on partitions.
@@ -51,9 +51,9 @@ SAMPLES = 3
 SEED = 17
 THETA = 1.0
 _FIX = float(1 << 30)
-BATCH_CHARS = 1 << 19
-MAX_UNITS = 60_000
-_UNITS = regex.compile("▁*[^▁]{1,64}|▁{1,64}")
+BATCH_CHARS = 1 << 21
+#: Up to 16 spaces, then up to 64 other characters: longer runs are cut.
+_UNITS = regex.compile("▁{0,16}[^▁]{1,64}|▁{1,16}")
 
 
 @lru_cache(maxsize=2)
@@ -64,54 +64,95 @@ def model(path: str):
 
 
 class Vocabulary:
-    """Arcs of units, cached for as many units as ``MAX_UNITS``."""
+    """The pieces as a trie whose steps are a sorted array, so that many texts walk it at once."""
 
     def __init__(self, path: str, theta: float = THETA) -> None:
         sp = model(path)
         self.theta = theta
-        self.piece: dict[str, tuple[int, float]] = {}
         self.byte = [0] * 256
         self.text: list[str] = []
+        steps: dict[int, int] = {}
+        pieces: dict[int, int] = {}
+        self.longest = 1
         for i in range(sp.get_piece_size()):
-            self.text.append(sp.id_to_piece(i))
+            text = sp.id_to_piece(i)
+            self.text.append(text)
             if sp.is_byte(i):
-                self.byte[int(self.text[i][3:5], 16)] = i
+                self.byte[int(text[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i)):
-                self.piece[self.text[i]] = (i, -theta * math.log(i + 1))
-        self.longest = max(map(len, self.piece))
-        self.units: dict[str, tuple] = {}
-
-    def unit(self, text: str) -> tuple:
-        """Arcs by node: first arc of each node, then for each arc end, id (or -1 - character) and log probability."""
-        found = self.units.get(text)
-        if found is not None:
-            return found
-        n = len(text)
-        beta = [0.0] * (n + 1)
-        arcs: list[list] = [[] for _ in range(n)]
-        for at in range(n - 1, -1, -1):
-            here = []
-            for end in range(at + 1, min(n, at + self.longest) + 1):
-                hit = self.piece.get(text[at:end])
-                if hit is not None:
-                    here.append((end, hit[0], hit[1] + beta[end]))
-            if not here or here[0][0] > at + 1:
-                raw = text[at].encode()
-                weight = sum(-self.theta * math.log(self.byte[b] + 1) for b in raw)
-                here.insert(0, (at + 1, -1 - ord(text[at]), weight + beta[at + 1]))
-            top = max(x[2] for x in here)
-            beta[at] = top + math.log(sum(math.exp(x[2] - top) for x in here))
-            arcs[at] = [(e, i, w - beta[at]) for e, i, w in here]
-        first = np.cumsum([0, *map(len, arcs)])[:-1]
-        flat = [x for a in arcs for x in a]
-        found = (
-            first.astype(np.int64), np.array([len(a) for a in arcs], np.int64), np.array([x[0] for x in flat], np.int64),
-            np.array([x[1] for x in flat], np.int64), np.array([x[2] for x in flat]),
-        )
-        if len(self.units) >= MAX_UNITS:
-            self.units.clear()
-        self.units[text] = found
-        return found
+                node = 0
+                for c in text:
+                    node = steps.setdefault(node << 21 | ord(c), len(steps) + 1)
+                pieces[node] = i
+                self.longest = max(self.longest, len(text))
+        self.steps = np.array(sorted(steps), np.int64)
+        self.child = np.array([steps[k] for k in self.steps.tolist()], np.int64)
+        self.root = np.zeros(0x110000, np.int64)
+        for k, to in steps.items():
+            if k < 0x110000:
+                self.root[k] = to
+        self.piece = np.full(len(steps) + 1, -1, np.int64)
+        self.piece[list(pieces)] = list(pieces.values())
+        # what an id adds to a decoded text; a byte beyond ASCII needs its neighbours
+        self.shown = [t.replace("▁", " ") for t in self.text]
+        for b in range(128):
+            self.shown[self.byte[b]] = chr(b)
+        self.high = self.byte[128]
+
+    def arcs(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """For all units: nodes of each, then by node its first arc and number of arcs, then by arc its end, id (or -1 - character) and log probability."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+        n = len(chars)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
+        at, node = np.arange(n), np.zeros(n, np.int64)
+        found: list[tuple] = []
+        for length in range(1, self.longest + 1):
+            open_ = left[at] >= length
+            at, node = at[open_], node[open_]
+            key = node << 21 | chars[at + length - 1]
+            if length == 1:
+                hit = self.root[key] > 0
+                at, node = at[hit], self.root[key[hit]]
+            else:
+                place = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+                hit = self.steps[place] == key
+                at, node = at[hit], self.child[place[hit]]
+            ids = self.piece[node]
+            own = ids >= 0
+            if length == 1:
+                bare = np.ones(n, bool)
+                bare[at[own]] = False
+                bare = np.flatnonzero(bare)
+                kinds, which = np.unique(chars[bare], return_inverse=True)
+                cost = np.array([sum(-self.theta * math.log(self.byte[b] + 1) for b in chr(c).encode()) for c in kinds.tolist()])
+                found.append((bare, np.ones(len(bare), np.int64), -1 - chars[bare], cost[which] if len(bare) else np.zeros(0)))
+            found.append((at[own], np.full(own.sum(), length), ids[own], -self.theta * np.log(ids[own] + 1.0)))
+            if not len(at):
+                break
+        start, length, ids, weight = (np.concatenate([f[k] for f in found]) for k in range(4))
+        order = np.lexsort((length, start))
+        start, length, ids, weight = start[order], length[order], ids[order], weight[order]
+        many = np.bincount(start, minlength=n)
+        first = np.cumsum(many) - many
+        beta = np.zeros(n + 1)
+        total = np.empty(len(start))
+        by_left = np.argsort(left[start], kind="stable")
+        cuts = np.searchsorted(left[start][by_left], np.arange(1, (sizes.max(initial=0)) + 2))
+        for k in range(len(cuts) - 1):  # from the ends of all units to their beginnings
+            some = by_left[cuts[k] : cuts[k + 1]]
+            if not len(some):
+                continue
+            source, size = start[some], length[some]
+            w = weight[some] + np.where(size == left[source], 0.0, beta[source + size])
+            heads = np.flatnonzero(np.r_[True, source[1:] != source[:-1]])
+            top = np.maximum.reduceat(w, heads)
+            counts = np.diff(np.r_[heads, len(w)])
+            sums = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, counts)), heads))
+            beta[source[heads]] = sums
+            total[some] = w - np.repeat(sums, counts)
+        base = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return sizes, first, many, start + length - base[start], ids, total
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -144,17 +185,13 @@ class Batch:
             units = [ids.setdefault(u, len(ids)) for u in _UNITS.findall("▁" + text.replace(" ", "▁"))] if text else []
             flat += units
             counts.append(len(units))
-        built = [vocabulary.unit(u) for u in ids]
-        nodes = np.array([len(b[0]) for b in built], np.int64)
-        arcs = np.array([len(b[2]) for b in built], np.int64)
-        node0, arc0 = np.cumsum(nodes) - nodes, np.cumsum(arcs) - arcs
-        join = lambda k, kind: np.concatenate([np.zeros(0, kind), *[b[k] for b in built]])
-        self.first = join(0, np.int64) + np.repeat(arc0, nodes)
-        self.many = join(1, np.int64)
-        self.end, self.id = join(2, np.int64), join(3, np.int64)
-        self.log = np.round(join(4, float) * _FIX).astype(np.int64)
+        nodes, self.first, self.many, self.end, self.id, log = vocabulary.arcs(list(ids))
+        self.log = np.round(log * _FIX).astype(np.int64)
         self.prob = np.exp(self.log / _FIX)
-        self.node0, self.nodes = node0, nodes
+        self.node0, self.nodes = np.cumsum(nodes) - nodes, nodes
+        self.of_node = np.repeat(np.arange(len(self.many)), self.many)
+        plain = (self.id < 0) & (self.id >= -128)  # one byte is one piece
+        self.id[plain] = np.array(vocabulary.byte, np.int64)[-1 - self.id[plain]]
         self.unit = np.array(flat, np.int64)
         self.count = np.array(counts, np.int64)
         self.begin = np.cumsum(self.count) - self.count
@@ -229,8 +266,7 @@ class Batch:
                 for j in again:
                     path, step, bar = tops[j][1]
                     arc = path[1, step]
-                    lo = np.searchsorted(self.first, arc, "right") - 1
-                    node.append(lo)
+                    node.append(self.of_node[arc])
                     barred.append(bar)
                     u.append(float(_uniform(self.key[work[j] : work[j] + 1], 2 * sample + 1, step)[0]))
                 arcs = self.draw(np.array(node), np.array(u), barred)
@@ -262,7 +298,7 @@ class Batch:
                 gone = self.prob[path[1, come:]].copy()
                 if bars[j] and len(gone):
                     gone[0] = sum(self.prob[a] for a in bars[j])
-                arcs_here = self.many[np.searchsorted(self.first, path[1, come:], "right") - 1]
+                arcs_here = self.many[self.of_node[path[1, come:]]]
                 taken = np.ones(len(gone), np.int64)
                 if bars[j] and len(gone):
                     taken[0] = len(bars[j])
@@ -271,7 +307,7 @@ class Batch:
                 mean = (through[steps] - log[steps]) / _FIX + np.log(np.maximum(1.0 - gone, 1e-15))
                 u = _uniform(np.repeat(self.key[d : d + 1], len(steps)), np.full(len(steps), 2 * sample + 1), steps + (1 << 40))
                 keys = _below(mean, np.full(len(steps), top), u)
-                best = np.argsort(-keys, kind="stable")[: k + 1]
+                best = np.argpartition(-keys, k)[: k + 1] if len(keys) > k + 1 else np.arange(len(keys))
                 for b in best.tolist():
                     step = int(steps[b])
                     bar = bars[j] if bars[j] and step == come else (int(path[1, step]),)
@@ -294,15 +330,16 @@ class Batch:
 
 def decode_ids(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     """The text that piece ids stand for."""
-    first = vocabulary.byte[0]
+    first, high = vocabulary.byte[0], vocabulary.high
+    if not ((ids >= high) & (ids < high + 128)).any():
+        return "".join(map(vocabulary.shown.__getitem__, ids.tolist()))[1:]
     out = bytearray()
     for i in ids.tolist():
         if first <= i < first + 256:
             out.append(i - first)
         else:
-            out += vocabulary.text[i].encode()
-    text = out.decode("utf-8").replace("▁", " ")
-    return text[1:]
+            out += vocabulary.shown[i].encode()
+    return out.decode("utf-8")[1:]
 
 
 _loaded: dict[str, Vocabulary] = {}
