@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.plans import analysis, scoring
+from assayer.plans import analysis, evidence, scoring
 
-_MODULES = (scoring, analysis)
+_MODULES = (scoring, analysis, evidence)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
