@@ -12,7 +12,12 @@ from assayer.plans.registry import ORACLES, QUERIES
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
-    clean = lambda v: None if v is None or v != v else (round(float(v), 9) if isinstance(v, float) else str(v))
+
+    def clean(v):
+        if pd.isna(v):
+            return None
+        return str(v) if isinstance(v, (str, bool)) or not hasattr(v, "__float__") else round(float(v), 9)
+
     return sorted((tuple(clean(v) for v in r) for r in frame.itertuples(index=False)), key=repr)
 
 
