@@ -51,7 +51,7 @@ SAMPLES = 3
 SEED = 17
 THETA = 1.0
 _FIX = float(1 << 30)
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 18
 #: Up to 16 spaces, then up to 64 other characters: longer runs are cut.
 _UNITS = regex.compile("▁{0,16}[^▁]{1,64}|▁{1,16}")
 
@@ -370,8 +370,9 @@ def sample(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
         for batch in batches:
             ids, texts, size = [], [], 0
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids.append(i)
+            for row, value in zip(batch.column("id"), batch.column("text"), strict=True):  # one text at a time, not the batch
+                text = value.as_py()
+                ids.append(row.as_py())
                 texts.append(text)
                 size += len(text)
                 if size >= BATCH_CHARS:
