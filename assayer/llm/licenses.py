@@ -6,8 +6,8 @@ is the set of its word bigrams, and is compared with templates by
 2 * shared / (size + size). A coefficient of at least ``threshold`` is possible
 only for sizes within a factor (2 - threshold) / threshold of each other, so a
 passage outside the bounds of every template makes no bigrams at all (no long
-text is ever compared); a text without any of the few words that such a
-coefficient calls for (``telling_words``, an exact bound) is passed over; and a (passage, template) pair outside its own bounds
+text is ever compared); a text without any of the bigrams of which such a
+coefficient calls for one (``telling_bigrams``, an exact bound) is passed over; and a (passage, template) pair outside its own bounds
 is dropped before it is counted.
 
 What passes is exploded to bigrams and joined to the templates' bigrams, which
@@ -78,27 +78,35 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def telling_words(texts: list[tuple[str, str]], threshold: float) -> list[str]:
-    """Words of which every text that reaches the threshold with some template holds at least one.
+def telling_bigrams(texts: list[tuple[str, str]], threshold: float) -> list[tuple[str, str]]:
+    """Bigrams of which every text that reaches the threshold with some template holds at least one.
 
     The sizes allowed leave threshold / (2 - threshold) of a template's bigrams
     as the least that must be shared, so of any larger rest one is shared. For
     each template that rest is taken by the longest word in a bigram, longest first.
     """
-    words: set[str] = set()
+    found: set[tuple[str, str]] = set()
     for _, text in texts:
         grams = sorted(_grams(text), key=lambda g: (-max(map(len, g)), g))
         least = math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
-        words |= {max(g, key=len) for g in grams[: len(grams) - least + 1]}
-    # a word that holds another one adds nothing
-    return sorted(w for w in words if not any(v != w and v in w for v in words))
+        found |= set(grams[: len(grams) - least + 1])
+    return sorted(found)
+
+
+def may_match(text: Column, texts: list[tuple[str, str]], threshold: float) -> Column:
+    """False only for texts that hold none of the telling bigrams: first a byte search for their longer words, then the bigrams themselves."""
+    grams = telling_bigrams(texts, threshold)
+    words = {max(g, key=len) for g in grams}
+    words = sorted(w for w in words if not any(v != w and v in w for v in words))  # a word that holds another one adds nothing
+    some = let(F.lower(text), lambda t: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(t, w)))
+    each = "|".join(f"{a}[^A-Za-z0-9]+{b}" for a, b in grams)
+    return some & text.rlike(f"(?i)(?<![A-Za-z0-9])(?:{each})(?![A-Za-z0-9])")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, texts: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """id, scope, passage_no, license, template, shared, size, dice of the passages that match."""
     known = templates(docs.sparkSession, texts)
-    telling = F.array(*map(F.lit, telling_words(texts, threshold)))
-    docs = docs.where(let(F.lower(docs[text_col]), lambda t: F.exists(telling, lambda w: F.contains(t, w))))
+    docs = docs.where(may_match(docs[text_col], texts, threshold))
     sizes = [len(_grams(text)) for _, text in texts]
     ratio = (2 - threshold) / threshold
     low, high = min(sizes) / ratio, max(sizes) * ratio
