@@ -19,10 +19,10 @@ variates cut off at the entry's key. Only the k + 1 best entries can matter, so
 only those are kept. The (k+1)-th key is the threshold kappa of the inclusion
 score 1 - exp(-exp(log p - kappa)).
 
-No piece reaches over the start of a run of spaces behind another character,
-so the lattice falls into units there (a run of over 64 characters or 16 spaces
-is cut as well). The distinct units of a batch are built together, and one search round runs for all texts of a batch at once in
-numpy. Uniform numbers are a hash of (row key, seed, sample, place), and log
+No piece reaches over two neighbouring characters that stand in no piece side
+by side, so the lattice falls into units there (a longer run is cut after every
+``LONGEST_UNIT`` characters as well). New units of a batch are built together,
+and one search round runs for all texts of a batch at once in numpy. Uniform numbers are a hash of (row key, seed, sample, place), and log
 probabilities are whole numbers (2^-30), so results depend neither on batches
 nor on partitions.
 
@@ -41,7 +41,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,8 +51,10 @@ SEED = 17
 THETA = 1.0
 _FIX = float(1 << 30)
 BATCH_CHARS = 1 << 18
-#: Up to 16 spaces, then up to 64 other characters: longer runs are cut.
-_UNITS = regex.compile("▁{0,16}[^▁]{1,64}|▁{1,16}")
+#: Lattices of this many units (of ``LONGEST_UNIT`` characters at most) are kept between batches.
+UNITS = 1 << 17
+#: Runs that no pair of characters cuts are cut after so many.
+LONGEST_UNIT = 64
 
 
 @lru_cache(maxsize=2)
@@ -91,14 +92,43 @@ class Vocabulary:
         for k, to in steps.items():
             if k < 0x110000:
                 self.root[k] = to
+        whole = [self.text[i] for i in pieces.values()]
+        seen = sorted({c for t in whole if len(t) > 1 for c in t})
+        self.kind = np.zeros(0x110000, np.uint16)  # 0: in no piece of several characters
+        self.kind[[ord(c) for c in seen]] = np.arange(1, len(seen) + 1)
+        self.joined = np.zeros((len(seen) + 1, len(seen) + 1), bool)
+        for t in whole:
+            at = self.kind[[ord(c) for c in t]]
+            self.joined[at[:-1], at[1:]] = len(t) > 1
         self.piece = np.full(len(steps) + 1, -1, np.int64)
         self.piece[list(pieces)] = list(pieces.values())
         # what an id adds to a decoded text; a byte beyond ASCII needs its neighbours
         self.shown = [t.replace("▁", " ") for t in self.text]
         for b in range(128):
             self.shown[self.byte[b]] = chr(b)
+        self.shown_array = np.array(self.shown, object)
         self.high = self.byte[128]
 
+    def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units of all texts in order, and how many each text has."""
+        marked = ["▁" + t.replace(" ", "▁") if t else "" for t in texts]
+        whole = "".join(marked)
+        if not whole:
+            return [], np.zeros(len(texts), np.int64)
+        kinds = self.kind[np.frombuffer(whole.encode("utf-32-le"), np.uint32)]
+        begins = np.append(True, ~self.joined[kinds[:-1], kinds[1:]])
+        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+        first = np.cumsum(sizes) - sizes
+        begins[first[sizes > 0]] = True
+        at = np.flatnonzero(begins)
+        run = np.diff(np.append(at, len(whole)))
+        for start, length in zip(at[run > LONGEST_UNIT].tolist(), run[run > LONGEST_UNIT].tolist(), strict=True):
+            begins[start : start + length : LONGEST_UNIT] = True
+        at = np.append(np.flatnonzero(begins), len(whole))
+        bounds = at.tolist()
+        counts = np.diff(np.append(np.searchsorted(at, first), len(bounds) - 1))
+        return [whole[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], counts
+
     def arcs(self, units: list[str]) -> tuple[np.ndarray, ...]:
         """For all units: nodes of each, then by node its first arc and number of arcs, then by arc its end, id (or -1 - character) and log probability."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
@@ -130,15 +160,21 @@ class Vocabulary:
             found.append((at[own], np.full(own.sum(), length), ids[own], -self.theta * np.log(ids[own] + 1.0)))
             if not len(at):
                 break
-        start, length, ids, weight = (np.concatenate([f[k] for f in found]) for k in range(4))
-        order = np.lexsort((length, start))
-        start, length, ids, weight = start[order], length[order], ids[order], weight[order]
-        many = np.bincount(start, minlength=n)
+        many = np.zeros(n, np.int64)
+        for at, *_ in found:
+            many[at] += 1
         first = np.cumsum(many) - many
+        start, free = np.repeat(np.arange(n), many), first.copy()
+        length, ids, weight = np.empty(len(start), np.int64), np.empty(len(start), np.int64), np.empty(len(start))
+        for at, *values in found:  # by start, then by length
+            place = free[at]
+            length[place], ids[place], weight[place] = values
+            free[at] += 1
         beta = np.zeros(n + 1)
         total = np.empty(len(start))
-        by_left = np.argsort(left[start], kind="stable")
-        cuts = np.searchsorted(left[start][by_left], np.arange(1, (sizes.max(initial=0)) + 2))
+        far = left[start]
+        by_left = np.argsort(far.astype(np.uint8), kind="stable")  # a unit has at most LONGEST_UNIT characters
+        cuts = np.append(0, np.cumsum(np.bincount(far)[1:]))
         for k in range(len(cuts) - 1):  # from the ends of all units to their beginnings
             some = by_left[cuts[k] : cuts[k + 1]]
             if not len(some):
@@ -161,12 +197,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _stir(key: np.ndarray, part) -> np.ndarray:
+    """The key of one part of what ``key`` stands for."""
+    with np.errstate(over="ignore"):
+        return _mix(key + np.asarray(part).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
+
+
+def _unit_interval(key: np.ndarray) -> np.ndarray:
+    return ((key >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
 def _uniform(key: np.ndarray, *parts) -> np.ndarray:
     """Numbers in (0, 1) from a row's key and what they are for."""
-    with np.errstate(over="ignore"):
-        for part in parts:
-            key = _mix(key + np.asarray(part).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
-    return ((key >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    for part in parts:
+        key = _stir(key, part)
+    return _unit_interval(key)
 
 
 def _below(mean: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -175,81 +220,141 @@ def _below(mean: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
         return mean - np.log(np.exp(np.minimum(mean - top, 700.0)) - np.log(u))
 
 
+class _Numbers(dict):
+    """Numbers of units in order of appearance; ``fresh`` holds those since it was last emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.fresh.append(unit)
+        self[unit] = at = len(self)
+        return at
+
+
+class Units:
+    """Lattices of the units met so far, in arrays that double as they fill.
+
+    A unit's lattice depends on nothing else, so keeping it or building it
+    again makes no difference; beyond ``UNITS`` units all are forgotten before
+    the next batch, which bounds the memory.
+    """
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.bytes = np.array(vocabulary.byte, np.int64)
+        small = dict.fromkeys(("end", "many"), np.uint8) | dict.fromkeys(("id", "node"), np.int32) | dict.fromkeys(("prob", "rest"), np.float64)
+        self.kinds = dict.fromkeys(("nodes", "node0", "first", "log"), np.int64) | small
+        for name, kind in self.kinds.items():
+            setattr(self, name, np.empty(0, kind))
+        self.clear()
+
+    def clear(self) -> None:
+        self.of = _Numbers()
+        self.used = dict.fromkeys(self.kinds, 0)
+
+    def _add(self, **arrays: np.ndarray) -> None:
+        for name, values in arrays.items():
+            used, held = self.used[name], getattr(self, name)
+            if used + len(values) > len(held):
+                held, old = np.empty(2 * (used + len(values)), held.dtype), held
+                held[:used] = old[:used]
+                setattr(self, name, held)
+            held[used : used + len(values)] = values
+            self.used[name] = used + len(values)
+
+    def learn(self) -> None:
+        """Build the lattices of the fresh units."""
+        if not self.of.fresh:
+            return
+        nodes, first, many, end, ids, log = self.vocabulary.arcs(self.of.fresh)
+        self.of.fresh = []
+        log = np.round(log * _FIX).astype(np.int64)
+        node = np.repeat(np.arange(len(many)), many)
+        top = np.flatnonzero(log == np.maximum.reduceat(log, first)[node])[::-1]
+        likely = first.copy()
+        likely[node[top]] = top  # the likeliest arc of a node changes places with its first: most draws end there
+        for values in (end, ids, log):
+            values[first], values[likely] = values[likely], values[first]
+        plain = (ids < 0) & (ids >= -128)  # one byte is one piece
+        ids[plain] = self.bytes[-1 - ids[plain]]
+        prob = np.exp(log / _FIX)
+        rest = np.log(np.maximum(1.0 - prob, 1e-15))
+        rest[many[node] == 1] = -np.inf  # no other arc leaves the node
+        self._add(
+            node0=np.cumsum(nodes) - nodes + self.used["many"], nodes=nodes, node=node + self.used["many"],
+            first=first + self.used["id"], many=many, end=end, id=ids, log=log, prob=prob, rest=rest,
+        )
+
+
 class Batch:
     """The lattices of some texts, and the search over all of them at once."""
 
-    def __init__(self, vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, seed: int) -> None:
-        ids: dict[str, int] = {}
-        flat, counts = [], []
-        for text in texts:
-            units = [ids.setdefault(u, len(ids)) for u in _UNITS.findall("▁" + text.replace(" ", "▁"))] if text else []
-            flat += units
-            counts.append(len(units))
-        nodes, self.first, self.many, self.end, self.id, log = vocabulary.arcs(list(ids))
-        self.log = np.round(log * _FIX).astype(np.int64)
-        self.prob = np.exp(self.log / _FIX)
-        self.node0, self.nodes = np.cumsum(nodes) - nodes, nodes
-        self.of_node = np.repeat(np.arange(len(self.many)), self.many)
-        plain = (self.id < 0) & (self.id >= -128)  # one byte is one piece
-        self.id[plain] = np.array(vocabulary.byte, np.int64)[-1 - self.id[plain]]
-        self.unit = np.array(flat, np.int64)
-        self.count = np.array(counts, np.int64)
+    def __init__(self, units: Units, texts: list[str], keys: np.ndarray, seed: int) -> None:
+        if len(units.of) > UNITS:
+            units.clear()
+        found, self.count = units.vocabulary.cut(texts)
+        self.unit = np.fromiter(map(units.of.__getitem__, found), np.int64, len(found))
+        units.learn()
+        self.units = units
         self.begin = np.cumsum(self.count) - self.count
         self.doc = np.repeat(np.arange(len(texts)), self.count)
         self.key = _mix(keys.astype(np.uint64) + np.uint64(seed))
-        self.place0 = np.cumsum(nodes[self.unit]) - nodes[self.unit] if len(flat) else np.zeros(0, np.int64)
-        base = np.append(self.place0, 0)[np.minimum(self.begin, len(flat) - 1 if flat else 0)] if len(flat) else np.zeros(len(texts), np.int64)
-        self.place0 = self.place0 - np.repeat(base, self.count)  # places count from the start of each text
-
-    def draw(self, node: np.ndarray, u: np.ndarray, barred: np.ndarray | None = None) -> np.ndarray:
-        """One arc of each node by its probability, without those in ``barred`` (rows of arcs, -1 for none)."""
-        arc, left = self.first[node].copy(), self.many[node].copy()
-        if barred is None:
-            rest = u.copy()
-            open_ = np.arange(len(node))
-            while len(open_):
-                p = self.prob[arc[open_]]
-                on = (rest[open_] >= p) & (left[open_] > 1)
-                rest[open_[on]] -= p[on]
-                open_ = open_[on]
-                arc[open_] += 1
-                left[open_] -= 1
-            return arc
-        for k in range(len(node)):  # few: one for each text and round
-            allowed = [a for a in range(arc[k], arc[k] + left[k]) if a not in barred[k]]
-            at = u[k] * sum(self.prob[a] for a in allowed)
-            for a in allowed:
-                arc[k] = a
-                at -= self.prob[a]
-                if at < 0:
-                    break
+        self.nodes, self.node0 = units.nodes[self.unit], units.node0[self.unit]
+        place = np.append(0, np.cumsum(self.nodes))
+        self.place0 = place[:-1] - np.repeat(place[self.begin], self.count)  # places count from the start of each text
+
+    def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """One arc of each node by its probability."""
+        units = self.units
+        arc = units.first[node]
+        last = arc + units.many[node] - np.int64(1)
+        on = np.flatnonzero((u >= units.prob[arc]) & (arc < last))
+        at, rest, last = arc[on], u[on], last[on]
+        while len(on):
+            rest = rest - units.prob[at]
+            at = at + 1
+            arc[on] = at
+            more = (rest >= units.prob[at]) & (at < last)
+            on, at, rest, last = on[more], at[more], rest[more], last[more]
         return arc
 
-    def walk(self, slot: np.ndarray, local: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
-        """From node ``local`` of each unit in ``slot`` to its end: (slot, arc) in order."""
-        order = np.arange(len(slot))
-        now, found = local.copy(), []
-        while len(order):
-            unit = self.unit[slot[order]]
-            inside = now[order] < self.nodes[unit]
-            order, unit = order[inside], unit[inside]
-            if not len(order):
+    def draw_other(self, node: int, u: float, barred: tuple[int, ...]) -> int:
+        """One arc of a node by its probability, without those barred."""
+        first = int(self.units.first[node])
+        allowed = [a for a in range(first, first + int(self.units.many[node])) if a not in barred]
+        probs = self.units.prob[allowed].tolist()
+        at = u * sum(probs)
+        for a, p in zip(allowed, probs, strict=True):
+            at -= p
+            if at < 0:
                 break
-            at = slot[order]
-            u = _uniform(self.key[self.doc[at]], np.full(len(at), 2 * sample), self.place0[at] + now[order])
-            arc = self.draw(self.node0[unit] + now[order], u)
+        return a
+
+    def walk(self, slot: np.ndarray, local: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From node ``local`` of each unit in ``slot`` to its end: (slot, arc) in order, and where each unit's arcs begin."""
+        stirred = _stir(self.key, 2 * sample)[self.doc[slot]]
+        nodes, node0, place0 = self.nodes[slot], self.node0[slot], self.place0[slot]
+        length, now, found = np.zeros(len(slot), np.int64), local, []
+        order = np.flatnonzero(now < nodes)
+        now = now[order]
+        while len(order):
+            arc = self.draw(node0[order] + now, _unit_interval(_stir(stirred[order], place0[order] + now)))
             found.append((order, arc))
-            now[order] = self.end[arc]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        who = np.concatenate([f[0] for f in found])
-        arc = np.concatenate([f[1] for f in found])
-        sort = np.argsort(who, kind="stable")
-        return slot[who[sort]], arc[sort]
+            length[order] += 1
+            now = self.units.end[arc].astype(np.int64)
+            inside = now < nodes[order]
+            order, now = order[inside], now[inside]
+        begin = np.append(0, np.cumsum(length))
+        arcs = np.empty(begin[-1], np.int64)
+        for k, (order, arc) in enumerate(found):
+            arcs[begin[order] + k] = arc
+        return np.repeat(slot, length), arcs, begin
 
     def search(self, k: int) -> list[list[tuple[float, float, float, np.ndarray]]]:
         """For each text up to k of (log p, key, inclusion, arcs), best first."""
-        n = len(self.count)
+        units, n = self.units, len(self.count)
         first_key = -np.log(-np.log(_uniform(self.key, np.full(n, 1), np.zeros(n))))
         queue: list[list[tuple]] = [[(float(first_key[d]), None)] for d in range(n)]
         done: list[list[tuple]] = [[] for _ in range(n)]
@@ -258,60 +363,63 @@ class Batch:
             if not work:
                 break
             tops = [queue[d].pop(0) for d in work]
-            head = [np.zeros((2, 0), np.int64)] * len(work)
             bars: list[tuple[int, ...]] = [()] * len(work)
-            again = [j for j, t in enumerate(tops) if t[1] is not None]
-            if again:  # the arc that leaves the earlier path
-                node, u, barred = [], [], []
-                for j in again:
-                    path, step, bar = tops[j][1]
-                    arc = path[1, step]
-                    node.append(self.of_node[arc])
-                    barred.append(bar)
-                    u.append(float(_uniform(self.key[work[j] : work[j] + 1], 2 * sample + 1, step)[0]))
-                arcs = self.draw(np.array(node), np.array(u), barred)
-                for j, arc in zip(again, arcs.tolist(), strict=True):
-                    path, step, bar = tops[j][1]
-                    head[j] = np.c_[path[:, :step], [[path[0, step]], [arc]]]
-                    bars[j] = (*bar, arc)
+            heads: list[tuple[np.ndarray, np.ndarray]] = [(self.unit[:0], self.unit[:0])] * len(work)
+            came = np.zeros(len(work), np.int64)  # steps shared with the earlier path
             slots, locals_ = [], []
             for j, d in enumerate(work):
-                if head[j].shape[1]:
-                    at, arc = head[j][0, -1], head[j][1, -1]
-                    slots.append(np.arange(at, self.begin[d] + self.count[d]))
-                    local = np.zeros(len(slots[-1]), np.int64)
-                    local[0] = self.end[arc]
-                else:
-                    slots.append(np.arange(self.begin[d], self.begin[d] + self.count[d]))
-                    local = np.zeros(len(slots[-1]), np.int64)
-                locals_.append(local)
-            slot, arc = self.walk(np.concatenate(slots), np.concatenate(locals_), sample)
-            cut = np.searchsorted(self.doc[slot], np.arange(n + 1)) if len(slot) else np.zeros(n + 1, np.int64)
+                at, local = self.begin[d], 0
+                if tops[j][1] is not None:  # the arc that leaves the earlier path
+                    (slot, arc), step, bar = tops[j][1]
+                    u = float(_uniform(self.key[d : d + 1], 2 * sample + 1, step)[0])
+                    chosen = self.draw_other(int(units.node[arc[step]]), u, bar)
+                    heads[j] = slot[: step + 1], np.append(arc[:step], chosen)
+                    bars[j], came[j] = (*bar, chosen), step
+                    at, local = slot[step], int(units.end[chosen])
+                slots.append(np.arange(at, self.begin[d] + self.count[d]))
+                locals_.append(np.zeros(len(slots[-1]), np.int64))
+                locals_[-1][:1] = local
+            sizes = np.array([len(s) for s in slots], np.int64)
+            slot, arc, begin = self.walk(np.concatenate(slots), np.concatenate(locals_), sample)
+            cut = begin[np.append(0, np.cumsum(sizes))].tolist()
+            paths = [
+                (np.concatenate([h[0], slot[a:b]]), np.concatenate([h[1], arc[a:b]])) if len(h[0]) else (slot[a:b], arc[a:b])
+                for h, a, b in zip(heads, cut, cut[1:], strict=False)
+            ]
+            # all paths in a row: their log probabilities, and the sets that leave them
+            long = np.array([len(p[1]) for p in paths], np.int64)
+            offset = np.append(0, np.cumsum(long))
+            arc = np.concatenate([p[1] for p in paths])
+            log = units.log[arc]
+            through = np.append(0, np.cumsum(log))
+            owner = np.repeat(np.arange(len(work)), long)
+            rest = units.rest[arc]
+            for j in range(len(work)):
+                if bars[j]:
+                    fork = offset[j] + came[j]
+                    left = units.many[units.node[arc[fork]]] > len(bars[j])
+                    rest[fork] = math.log(max(1.0 - float(units.prob[list(bars[j])].sum()), 1e-15)) if left else -math.inf
+            step = np.arange(len(arc)) - offset[owner]
+            open_ = np.flatnonzero((step >= came[owner]) & (rest > -np.inf))
+            step, of = step[open_], owner[open_]
+            mean = (through[open_] - through[offset[of]]) / _FIX + rest[open_]
+            who = np.array(work, np.int64)
+            top = np.array([t[0] for t in tops])
+            u = _unit_interval(_stir(_stir(self.key[who], 2 * sample + 1)[of], step + (1 << 40)))
+            keys = _below(mean, top[of], u)
+            bounds = np.searchsorted(of, np.arange(len(work) + 1)).tolist()
+            total = (through[offset[1:]] - through[offset[:-1]]).tolist()
             for j, d in enumerate(work):
-                path = np.c_[head[j], np.stack([slot[cut[d] : cut[d + 1]], arc[cut[d] : cut[d + 1]]])]
-                top, come = tops[j][0], max(head[j].shape[1] - 1, 0)
-                log = self.log[path[1]]
-                through = np.cumsum(log)
-                done[d].append((float(through[-1]) / _FIX if len(log) else 0.0, top, path[1]))
-                # sets that leave this path at its steps: from where it left the earlier one
-                steps = np.arange(come, len(log))
-                gone = self.prob[path[1, come:]].copy()
-                if bars[j] and len(gone):
-                    gone[0] = sum(self.prob[a] for a in bars[j])
-                arcs_here = self.many[self.of_node[path[1, come:]]]
-                taken = np.ones(len(gone), np.int64)
-                if bars[j] and len(gone):
-                    taken[0] = len(bars[j])
-                open_ = arcs_here > taken
-                steps, gone = steps[open_], gone[open_]
-                mean = (through[steps] - log[steps]) / _FIX + np.log(np.maximum(1.0 - gone, 1e-15))
-                u = _uniform(np.repeat(self.key[d : d + 1], len(steps)), np.full(len(steps), 2 * sample + 1), steps + (1 << 40))
-                keys = _below(mean, np.full(len(steps), top), u)
-                best = np.argpartition(-keys, k)[: k + 1] if len(keys) > k + 1 else np.arange(len(keys))
-                for b in best.tolist():
-                    step = int(steps[b])
-                    bar = bars[j] if bars[j] and step == come else (int(path[1, step]),)
-                    queue[d].append((float(keys[b]), (path, step, bar)))
+                path, a, b = paths[j], bounds[j], bounds[j + 1]
+                done[d].append((total[j] / _FIX, tops[j][0], path[1]))
+                if sample + 1 == k:  # no more searching: only the best of the rest is asked for
+                    best = [a + int(np.argmax(keys[a:b]))] if b > a else []
+                else:
+                    best = (a + np.argpartition(-keys[a:b], k)[: k + 1]).tolist() if b - a > k + 1 else range(a, b)
+                for at in best:
+                    s = int(step[at])
+                    bar = bars[j] if bars[j] and s == came[j] else (int(path[1][s]),)
+                    queue[d].append((float(keys[at]), (path, s, bar)))
                 queue[d].sort(key=lambda q: -q[0])
                 del queue[d][k + 1 :]
         out = []
@@ -322,8 +430,8 @@ class Batch:
 
     def pieces(self, arcs: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
         """Piece ids of a path; a character without a piece gives its bytes."""
-        ids = self.id[arcs]
-        if (ids >= 0).all():
+        ids = self.units.id[arcs]
+        if ids.min(initial=0) >= 0:
             return ids
         return np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else [vocabulary.byte[b] for b in chr(-1 - i).encode()])], np.int64)
 
@@ -332,7 +440,7 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     """The text that piece ids stand for."""
     first, high = vocabulary.byte[0], vocabulary.high
     if not ((ids >= high) & (ids < high + 128)).any():
-        return "".join(map(vocabulary.shown.__getitem__, ids.tolist()))[1:]
+        return "".join(vocabulary.shown_array[ids].tolist())[1:]
     out = bytearray()
     for i in ids.tolist():
         if first <= i < first + 256:
@@ -342,12 +450,12 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     return out.decode("utf-8")[1:]
 
 
-_loaded: dict[str, Vocabulary] = {}
+_loaded: dict[str, Units] = {}
 
 
-def vocabulary(path: str) -> Vocabulary:
+def units_of(path: str) -> Units:
     if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
+        _loaded[path] = Units(Vocabulary(path))
     return _loaded[path]
 
 
@@ -356,17 +464,21 @@ def sample(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     source = df.select(df[id_col].cast("long").alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
+        units = units_of(path)
+        words = units.vocabulary
 
         def some(ids: list, texts: list[str]) -> pa.RecordBatch:
-            batch = Batch(words, texts, np.array([i or 0 for i in ids], np.int64), seed)
+            batch = Batch(units, texts, np.array([i or 0 for i in ids], np.int64), seed)
             rows = []
             for i, found in zip(ids, batch.search(k), strict=True):
                 for at, (log, key, inclusion, arcs) in enumerate(found, 1):
                     pieces = batch.pieces(arcs, words)
                     rows.append((i, at, pieces, log, key, inclusion, decode_ids(words, pieces)))
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "sample", "ids", "log_prob", "gumbel", "inclusion", "decoded"])
+            kinds = (pa.int64(), pa.int32(), None, pa.float64(), pa.float64(), pa.float64(), pa.string())
+            columns = list(zip(*rows, strict=True))
+            ends = np.append(0, np.cumsum([len(p) for p in columns[2]])).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[2]).astype(np.int32)))
+            return pa.RecordBatch.from_arrays([lists if t is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "sample", "ids", "log_prob", "gumbel", "inclusion", "decoded"])
 
         for batch in batches:
             ids, texts, size = [], [], 0

@@ -262,9 +262,10 @@ def test_chat_folds_events(spark):
 
 
 def test_samples_are_without_replacement_and_weigh_up():
-    words = lattice.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    units = lattice.units_of(public_tokenizers.path("piece_bpe_32k.model"))
+    words = units.vocabulary
     n = 6000
-    found = lattice.Batch(words, ["the a"] * n, np.arange(n), 17).search(2)
+    found = lattice.Batch(units, ["the a"] * n, np.arange(n), 17).search(2)
     first = collections.Counter(tuple(f[0][3].tolist()) for f in found)
     p = {tuple(x[3].tolist()): math.exp(x[0]) for f in found for x in f}
     assert all(abs(first[k] / n - q) < 0.02 for k, q in p.items())
@@ -274,13 +275,14 @@ def test_samples_are_without_replacement_and_weigh_up():
 
 def test_samples_decode_and_ignore_batches(spark, odd, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
-    words = lattice.vocabulary(path)
+    units = lattice.units_of(path)
+    words = units.vocabulary
     texts = ["", "  two  spaces ", "日本\n\té\x00", "plain words only", "x" * 500]
-    together = lattice.Batch(words, texts, np.arange(5), 1).search(3)
+    together = lattice.Batch(units, texts, np.arange(5), 1).search(3)
     for i, text in enumerate(texts):
-        alone = lattice.Batch(words, [text], np.array([i]), 1).search(3)[0]
+        alone = lattice.Batch(units, [text], np.array([i]), 1).search(3)[0]
         assert [(a[0], a[1], a[2]) for a in alone] == [(b[0], b[1], b[2]) for b in together[i]]
-        for x, b in zip(alone, [lattice.Batch(words, [text], np.array([i]), 1)] * 3, strict=False):
+        for x, b in zip(alone, [lattice.Batch(units, [text], np.array([i]), 1)] * 3, strict=False):
             assert lattice.decode_ids(words, b.pieces(x[3], words)) == text
     got = lattice.sample(odd.where("length(text) < 100 or text is null"), path, k=2).toPandas()
     assert got[got.decoded == ""].ids.map(len).eq(0).all() and len(got) >= 6
