@@ -245,14 +245,24 @@ def near_duplicates(
     return docs.join(named, "fp").select("id", "fp", "text_hash", "root", "component_id")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """The rows of ``df``, one for each component: its smallest id (then text hash), once."""
     found = near_duplicates(df, id_col, text_col, radius)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-    kept = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    keyed = df.withColumn("__hash", F.xxhash64(F.col(text_col)))
-    on = keyed[id_col].eqNullSafe(kept["__id"]) & (keyed["__hash"] == kept["__hash"])
-    return keyed.join(kept, on, "left_semi").dropDuplicates([id_col, "__hash"]).drop("__hash")
+    # plain equality of three columns, so the join's shuffle and order serve the removal of repeats too
+    key = none, id_, hash_ = [unused(df.columns, name) for name in ("__none", "__id", "__hash")]
+    kept = found.groupBy("root").agg(F.min(order).alias("k")).select(
+        F.col("k.none").alias(none), F.coalesce(F.col("k.id").cast("string"), F.lit("")).alias(id_), F.col("k.text_hash").alias(hash_)
+    )
+    keyed = df.select("*", df[id_col].isNull().alias(none), F.coalesce(df[id_col].cast("string"), F.lit("")).alias(id_), F.xxhash64(df[text_col]).alias(hash_))
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*df.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -258,6 +258,14 @@ def test_chat_folds_events(spark):
     assert chat.digest(chat.format_events(events.where("false"))).count() == 0
 
 
+def test_keep_one_ignores_clashing_names(spark):
+    rows = [(1, "a b c d", 1), (1, "a b c d", 2), (2, "a b c d", 3), (None, "e f g h", 4), (None, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long").withColumn("__hash", F.lit(0))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r[0]), str(r[1])) for r in kept.collect()) == [("1", "a b c d"), ("None", "None"), ("None", "e f g h")]
+
+
 # --- Lattice
 
 
