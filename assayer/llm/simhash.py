@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm import near_copies
 from assayer.llm.components import star_components
 from assayer.session import materialize
 
@@ -252,17 +253,14 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """The rows of ``df``, one for each component: its smallest id (then text hash), once."""
-    found = near_duplicates(df, id_col, text_col, radius)
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, one for each group of near copies (``near_copies``): its smallest id (then text hash), once."""
     # plain equality of three columns, so the join's shuffle and order serve the removal of repeats too
     key = none, id_, hash_ = [unused(df.columns, name) for name in ("__none", "__id", "__hash")]
-    kept = found.groupBy("root").agg(F.min(order).alias("k")).select(
-        F.col("k.none").alias(none), F.coalesce(F.col("k.id").cast("string"), F.lit("")).alias(id_), F.col("k.text_hash").alias(hash_)
-    )
-    keyed = df.select("*", df[id_col].isNull().alias(none), F.coalesce(df[id_col].cast("string"), F.lit("")).alias(id_), F.xxhash64(df[text_col]).alias(hash_))
-    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*df.columns)
+    keys = [df[id_col].isNull().alias(none), F.coalesce(df[id_col].cast("string"), F.lit("")).alias(id_), F.xxhash64(df[text_col]).alias(hash_)]
+    texts = df.select(*keys, df[id_col].alias("id"), F.coalesce(df[text_col].cast("binary"), F.lit(b"")).alias("raw"))
+    kept = near_copies.keep_one(texts, key, "raw", [none, "id", hash_])
+    return df.select("*", *keys).join(kept, key, "left_semi").dropDuplicates(key).select(*df.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

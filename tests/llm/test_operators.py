@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from assayer.llm import chat, lattice, licenses, media, mixing, quality, secrets, simhash, token_counts, url_rules
+from assayer.llm import chat, lattice, licenses, media, mixing, near_copies, quality, secrets, simhash, token_counts, url_rules
 from assayer.llm.words import word_count
 
 ODD = "doc_id long, text string, source string, fp string, size long, row string"
@@ -79,6 +79,37 @@ def test_simhash_odd_inputs(odd, none):
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3]
 
 
+def test_keep_one_finds_planted_near_copies(spark):
+    """Each copy has one to three words of 300 changed (five-word Jaccard of 0.9 and more); a far one has every tenth changed."""
+    rnd = random.Random(11)
+    rows = []
+    for group in range(60):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+        rows.append((10 * group, " ".join(words)))
+        for k in range(1, 4):
+            copy = list(words)
+            for at in rnd.sample(range(300), k):
+                copy[at] = f"new{k}"
+            rows.append((10 * group + k, " ".join(copy)))
+        rows.append((10 * group + 9, " ".join("far" if i % 10 == 0 else w for i, w in enumerate(words))))
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(10 * g + k for g in range(60) for k in (0, 9))
+
+
+def test_exact_groups_by_brute_force():
+    rnd = np.random.default_rng(4)
+    for _ in range(30):
+        base = [rnd.choice(400, 40, replace=False) for _ in range(4)]
+        sets = [np.unique(np.append(rnd.choice(b, rnd.integers(30, 41), replace=False), rnd.integers(400, 600, 3))).astype(np.uint64) for b in base for _ in range(8)]
+        want = list(range(len(sets)))
+        for _ in sets:
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets):
+                    if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+                        want[i] = want[j] = min(want[i], want[j])
+        assert near_copies.exact_groups(sets).tolist() == want
+
+
 # --- URL rules
 
 
