@@ -31,12 +31,13 @@ TRAIN_ROWS = 3000
 TREES, DEPTH, SEED = 15, 6, 7
 
 _WORDS = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer"
-_VALUE = "[A-Za-z0-9_+/=.~-]{8,200}"
+#: Possessive and without an upper bound: a value is the whole token, however long.
+_VALUE = "[A-Za-z0-9_+/=.~-]{8,}+"
 #: Key word and value, or a value with a known prefix; up to 24 characters to the left are its neighbourhood.
 CANDIDATE = (
     rf"(?i)(?:(?<![a-z])(?:{_WORDS})['\"]?[ \t]{{0,3}}(?:=|:|is)[ \t]{{0,3}}['\"]?{_VALUE})"
-    r"|(?-i:(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{12,20}(?![A-Za-z0-9]))"
-    r"|(?-i:(?<![A-Za-z0-9])(?:ghp|gho|ghs|github_pat|glpat|xoxb|xoxp|sk|rk)[_-][A-Za-z0-9_-]{16,120})"
+    r"|(?-i:(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{12,}+(?![A-Za-z0-9]))"
+    r"|(?-i:(?<![A-Za-z0-9])(?:ghp|gho|ghs|github_pat|glpat|xoxb|xoxp|sk|rk)[_-][A-Za-z0-9_-]{16,}+)"
 )
 _SPLIT = rf"(?i)^((?:{_WORDS})['\"]?[ \t]{{0,3}}(?:=|:|is)[ \t]{{0,3}}['\"]?)"
 #: Common words and letter pairs of code and prose. Fixed values.

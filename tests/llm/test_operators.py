@@ -250,6 +250,16 @@ def test_secrets_found_and_removed(spark, none):
     assert secrets.redact(none, vote).count() == 0 and secrets.scan(none, vote).count() == 0
 
 
+def test_long_tokens_are_whole(spark):
+    vote = secrets.train(secrets.labelled_findings(spark))
+    token = lambda n: "".join(hashlib.sha256(f"{n}:{i}".encode()).hexdigest() for i in range(n // 64 + 1))[:n]
+    tokens = [f"{head}{token(n)}" for n in (201, 602, 5000) for head in ("", "sk-proj-", "ghp_")] + ["AKIA" + token(40).upper()]
+    docs = spark.createDataFrame([(i, f'a key = "x" {"" if t[:4] in ("sk-p", "ghp_", "AKIA") else "token = "}"{t}" end', "src") for i, t in enumerate(tokens)], "doc_id long, text string, source string")
+    assert {r["id"]: r["value"] for r in secrets.scan(docs, vote).collect()} == dict(enumerate(tokens))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, vote).collect()}
+    assert all(clean[i].endswith('"[secret]" end') for i in range(len(tokens)))
+
+
 # --- Licences
 
 
