@@ -1,7 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are tokens behind a credential word (``password=...``, ``token =
-"..."``) and tokens with a known prefix. A forest judges each by its length,
+Candidates are values behind a credential word (``password=...``,
+``client_secret_key = "..."``, ``Authorization: Bearer ...``), passwords in
+URLs, PEM private keys, JSON web tokens and tokens with a known prefix. The
+pattern is wide (values of any length, quoted ones of any character), and false
+positives are the forest's to drop. A forest judges each by its length,
 its character transitions (how often neighbouring characters change class, how
 often a letter pair is a common one), dictionary coverage (how much of it common
 words make up), its path (words of the path column such as ``test`` or
@@ -25,21 +28,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.llm.words import let
 from assayer.session import table
 
 TRAIN_ROWS = 3000
 TREES, DEPTH, SEED = 15, 6, 7
 
-_WORDS = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer"
-#: Possessive and without an upper bound: a value is the whole token, however long.
-_VALUE = "[A-Za-z0-9_+/=.~-]{8,}+"
-#: Key word and value, or a value with a known prefix; up to 24 characters to the left are its neighbourhood.
+_WORDS = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|authorization|auth|credentials?|bearer"
+#: A key word, what ``_`` or ``-`` adds to it, and the sign behind it; or a scheme behind Authorization; or a URL's user.
+_KEY = (
+    rf"(?:(?<![a-z])authorization\\?['\"]?[ \t]{{0,3}}[:=][ \t]{{0,3}}\\?['\"]?(?:bearer|basic|token|digest)[ \t]{{1,3}}"
+    rf"|(?<![a-z])(?:{_WORDS})(?:[_-][a-z0-9_-]*+)?\\?['\"]?[ \t]{{0,3}}(?::=|=>|==?|:|is)[ \t]{{0,3}}\\?['\"]?"
+    r"|(?<![a-z])bearer[ \t]{1,3}['\"]?)"
+)
+#: A quoted value is all up to its quote; another one ends at white space, a quote or one of ``\,;<>&``, without
+#: closing brackets and full stops. Possessive and without an upper bound: a value is whole, however long.
+_VALUE = r"(?:(?<=\")[^\"\\\r\n]++(?=\\?\")|(?<=')[^'\\\r\n]++(?=\\?')|[^\s'\"\\,;<>&]*[^\s'\"\\,;<>&)\]}.])"
+_URL = r"(?<=[a-z0-9+.-])://[^\s/:@'\"<>]*+:"
+_PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+#: Key word and value, a URL's password, or a value with a known prefix or form.
 CANDIDATE = (
-    rf"(?i)(?:(?<![a-z])(?:{_WORDS})['\"]?[ \t]{{0,3}}(?:=|:|is)[ \t]{{0,3}}['\"]?{_VALUE})"
+    rf"(?i)(?:{_KEY}{_VALUE})"
+    rf"|(?:{_URL}[^\s/'\"<>]+(?=@))"
+    rf"|(?-i:{_PEM}(?:[\s\S]*?{_PEM.replace('BEGIN', 'END')}|[A-Za-z0-9+/=\s]*+))"
+    r"|(?-i:(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]*+){0,3}+)"
     r"|(?-i:(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{12,}+(?![A-Za-z0-9]))"
     r"|(?-i:(?<![A-Za-z0-9])(?:ghp|gho|ghs|github_pat|glpat|xoxb|xoxp|sk|rk)[_-][A-Za-z0-9_-]{16,}+)"
 )
-_SPLIT = rf"(?i)^((?:{_WORDS})['\"]?[ \t]{{0,3}}(?:=|:|is)[ \t]{{0,3}}['\"]?)"
+_SPLIT = rf"(?i)^({_KEY}|://[^\s/:@'\"<>]*+:)"
 #: Common words and letter pairs of code and prose. Fixed values.
 DICTIONARY = [
     "password", "secret", "token", "example", "your", "here", "test", "change", "replace", "insert", "sample", "dummy", "value",
@@ -66,7 +82,7 @@ def features(df: DataFrame) -> DataFrame:
             "digits": F.regexp_count(value, F.lit("[0-9]")) / n,
             "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(24.0)),
             "keyed": F.when(F.col("key") != "", 1.0).otherwise(0.0),
-            "prefixed": F.when(value.rlike("^(AKIA|ASIA|gh[pos]_|github_pat_|glpat-|xox[bp]-|[sr]k[_-])"), 1.0).otherwise(0.0),
+            "prefixed": F.when(value.rlike("^(AKIA|ASIA|gh[pos]_|github_pat_|glpat-|xox[bp]-|[sr]k[_-]|eyJ|-----BEGIN )"), 1.0).otherwise(0.0),
             "path": any_of(F.col("path"), PATH_WORDS),
             "beside": any_of(F.col("before"), BESIDE_WORDS),
         }
@@ -80,20 +96,31 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     upper = F.translate(F.upper(hexed(1)), "0123456789ABCDEF", "Q7ZX2RWJ5KTYABCDEF0GHMNP"[:16])
     mixed = F.translate(F.to_char(F.unhex(hexed(2)), F.lit("base64")), "+/=\n", "xyz")
     pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64(i, F.lit(words[0])), F.lit(len(words))) + 1).cast("int"))
-    kind = F.pmod(i, F.lit(12))
+    kind = F.pmod(i, F.lit(20))
     prose = pick(["the", "with", "login", "config", "set", "und", "les", "para", "deploy", "using"])
     fill = pick(["your_token_here", "changeme123", "example-password", "insert-secret-here", "xxxxxxxxxxxx", "REPLACE_ME_NOW", "password123", "none.required", "default-value", "placeholder"])
     word = F.concat(pick(["therein", "another", "standing", "testing", "national", "interest", "restored"]), pick(["ation", "ingly", "enter", "ested"]))
+    short = pick(["required", "wrong", "not", "that", "changed", "kept", "known", "invalid", "a", "missing", "reset", "about", "stored", "${TOKEN}", "<none>", "here"])
+    sign = pick(["@", "!", "#", "$", "%", "*"])
     value = (
         F.when(kind == 0, F.substring(hexed(3), 1, 12)).when(kind == 1, F.substring(hexed(3), 1, 40)).when(kind == 2, F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)))
         .when(kind == 3, F.substring(mixed, 1, 24)).when(kind == 4, F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36))).when(kind == 5, F.substring(hexed(4), 1, 32))
         .when(kind == 6, fill).when(kind == 7, word).when(kind == 8, F.substring(hexed(5), 1, 40)).when(kind == 9, F.substring(hexed(5), 1, 12))
-        .when(kind == 10, F.concat(F.lit("sk-"), word, F.lit("-"), word)).otherwise(F.concat(word, F.lit("."), word))
+        .when(kind == 10, F.concat(F.lit("sk-"), word, F.lit("-"), word))
+        .when(kind == 12, F.concat(F.substring(mixed, 1, 2), sign, F.substring(mixed, 4, 4))).when(kind == 13, short)
+        .when(kind == 14, F.concat(F.lit("eyJ"), F.substring(mixed, 1, 20), F.lit(".eyJ"), mixed, F.lit("."), mixed))
+        .when(kind == 15, F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), mixed, F.lit("\n"), mixed, F.lit("\n-----END RSA PRIVATE KEY-----")))
+        .when(kind == 16, F.concat(F.substring(mixed, 1, 5), sign, F.substring(mixed, 7, 5))).when(kind == 17, F.concat(word, F.lit(" "), word))
+        .when(kind == 18, F.substring(mixed, 1, 40)).when(kind == 19, word).otherwise(F.concat(word, F.lit("."), word))
+    )
+    keys = pick(["password=", "token = \"", "secret: ", "api_key=", "password is ", "client_secret_key = "])
+    key = (
+        F.when(kind.isin(2, 4, 10, 14, 15), F.lit("")).when(kind == 16, pick(["://admin:", "://root:", "://app:"]))
+        .when(kind.isin(18, 19), pick(["Bearer ", "Authorization: Bearer ", "bearer "])).otherwise(keys)
     )
-    key = F.when(kind.isin(2, 4, 10), F.lit("")).otherwise(pick(["password=", "token = \"", "secret: ", "api_key=", "password is "]))
     before = F.when(kind == 8, pick(["commit sha1 ", "an example ", "file checksum ", "a fake one, "])).otherwise(F.concat(prose, F.lit(" ")))
     path = F.when(kind == 9, pick(["tests/fixture.py", "docs/example.md", "spec/mock.rb"])).otherwise(pick(["src0", "src/main.py", "src5", "config/app.yml", "web"]))
-    return spark.range(0, rows, 1, 1).select(value.alias("value"), key.alias("key"), before.alias("before"), path.alias("path"), (kind < 6).cast("double").alias("label"))
+    return spark.range(0, rows, 1, 1).select(value.alias("value"), key.alias("key"), before.alias("before"), path.alias("path"), ((kind < 6) | kind.isin(12, 14, 15, 16, 18)).cast("double").alias("label"))
 
 
 def train(findings: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH) -> Column:
@@ -119,23 +146,21 @@ def train(findings: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth
 
 
 def _around(text: Column) -> Column:
-    """Each match with up to 24 characters before it on its line; the slower pattern runs only where there is a match."""
-    found = F.regexp_extract_all(text, F.lit(f"([^\\n]{{0,24}}?)({CANDIDATE})"), F.lit(0))
-    return F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast("array<string>"))
+    """found and before (up to 24 characters on its line) of each match; texts are cut only where there is a match."""
+    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    between = F.split(text, CANDIDATE, -1)
+    each = let(between, lambda parts: F.transform(found, lambda f, i: F.struct(f.alias("found"), F.right(F.substring_index(F.get(parts, i), "\n", -1), F.lit(24)).alias("before"))))
+    return F.when(text.rlike(CANDIDATE), each).otherwise(F.array().cast("array<struct<found:string,before:string>>"))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """id, path, no, found, key, value, before: every candidate of every text."""
     text = F.coalesce(docs[text_col], F.lit(""))
     path = docs[path_col].cast("string") if path_col else F.lit(None).cast("string")
-    around = _around(text)
-    some = docs.select(docs[id_col].alias("id"), path.alias("path"), F.posexplode(around).alias("no", "around"))
-    found = F.regexp_extract("around", f"({CANDIDATE})", 1)
-    some = some.withColumn("found", found)
-    key = F.regexp_extract("found", _SPLIT, 1)
+    some = docs.select(docs[id_col].alias("id"), path.alias("path"), F.posexplode(_around(text)).alias("no", "around"))
+    key = F.regexp_extract("around.found", _SPLIT, 1)
     return some.select(
-        "id", "path", "no", "found", key.alias("key"), F.substr("found", F.length(key) + 1).alias("value"),
-        F.expr("substring(around, 1, length(around) - length(found))").alias("before"),
+        "id", "path", "no", F.col("around.found").alias("found"), key.alias("key"), F.substr("around.found", F.length(key) + 1).alias("value"), F.col("around.before").alias("before"),
     )
 
 
@@ -158,11 +183,9 @@ def redact(docs: DataFrame, vote: Column, text_col: str = "text", path_col: str
     plain = held.where("size(__around) = 0 or __around is null").select(*names)
     some = held.where("size(__around) > 0")
     exploded = some.select(*names, "__row", F.col("__path").alias("path"), F.explode("__around").alias("around"))
-    exploded = exploded.withColumn("found", F.regexp_extract("around", f"({CANDIDATE})", 1))
-    key = F.regexp_extract("found", _SPLIT, 1)
+    key = F.regexp_extract("around.found", _SPLIT, 1)
     renamed = exploded.select(
-        "__row", F.struct(*names).alias("__doc"), "path", key.alias("key"), F.substr("found", F.length(key) + 1).alias("value"),
-        F.expr("substring(around, 1, length(around) - length(found))").alias("before"),
+        "__row", F.struct(*names).alias("__doc"), "path", key.alias("key"), F.substr("around.found", F.length(key) + 1).alias("value"), F.col("around.before").alias("before"),
     )
     judged = features(renamed).withColumn("__secret", F.round(vote, 6) >= 0.5)
     values = judged.groupBy("__row").agg(F.first("__doc").alias("__doc"), F.array_sort(F.collect_set(F.when(F.col("__secret"), F.col("value")))).alias("__values"))
