@@ -33,6 +33,8 @@ from assayer.session import table
 
 TRAIN_ROWS = 3000
 TREES, DEPTH, SEED = 15, 6, 7
+#: Whole words on each side of a candidate that count as its neighbours.
+BESIDE = 8
 
 _WORDS = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|authorization|auth|credentials?|bearer"
 #: A key word, what ``_`` or ``-`` adds to it, and the sign behind it; or a scheme behind Authorization; or a URL's user.
@@ -68,7 +70,7 @@ FEATURES = ["length", "changes", "pairs", "covered", "digits", "distinct", "keye
 
 
 def features(df: DataFrame) -> DataFrame:
-    """``df`` (value, key, before, path) with the columns of ``FEATURES``."""
+    """``df`` (value, key, before, after, path) with the columns of ``FEATURES``."""
     value, n = F.col("value"), F.greatest(F.length("value"), F.lit(1)).cast("double")
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
     lower = F.lower(value)
@@ -84,13 +86,13 @@ def features(df: DataFrame) -> DataFrame:
             "keyed": F.when(F.col("key") != "", 1.0).otherwise(0.0),
             "prefixed": F.when(value.rlike("^(AKIA|ASIA|gh[pos]_|github_pat_|glpat-|xox[bp]-|[sr]k[_-]|eyJ|-----BEGIN )"), 1.0).otherwise(0.0),
             "path": any_of(F.col("path"), PATH_WORDS),
-            "beside": any_of(F.col("before"), BESIDE_WORDS),
+            "beside": any_of(F.concat_ws(" ", "before", "after"), BESIDE_WORDS),
         }
     )
 
 
 def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
-    """value, key, before, path, label: made-up findings, half real credentials, half common false alarms."""
+    """value, key, before, after, path, label: made-up findings, half real credentials, half common false alarms."""
     i = F.col("id")
     hexed = lambda k: F.sha2(F.concat(i.cast("string"), F.lit(f":{k}")), 256)
     upper = F.translate(F.upper(hexed(1)), "0123456789ABCDEF", "Q7ZX2RWJ5KTYABCDEF0GHMNP"[:16])
@@ -118,9 +120,11 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
         F.when(kind.isin(2, 4, 10, 14, 15), F.lit("")).when(kind == 16, pick(["://admin:", "://root:", "://app:"]))
         .when(kind.isin(18, 19), pick(["Bearer ", "Authorization: Bearer ", "bearer "])).otherwise(keys)
     )
-    before = F.when(kind == 8, pick(["commit sha1 ", "an example ", "file checksum ", "a fake one, "])).otherwise(F.concat(prose, F.lit(" ")))
+    behind = F.pmod(F.xxhash64(i, F.lit("behind")), F.lit(2)) == 1
+    after = F.when((kind == 8) & behind, pick(["\" # example only", " (placeholder)", "\" # fake", " is a sample value"])).otherwise(pick(["", "\"", " and more", "\" # login", ", user"]))
+    before = F.when((kind == 8) & ~behind, pick(["commit sha1 ", "an example ", "file checksum ", "a fake one, "])).otherwise(F.concat(prose, F.lit(" ")))
     path = F.when(kind == 9, pick(["tests/fixture.py", "docs/example.md", "spec/mock.rb"])).otherwise(pick(["src0", "src/main.py", "src5", "config/app.yml", "web"]))
-    return spark.range(0, rows, 1, 1).select(value.alias("value"), key.alias("key"), before.alias("before"), path.alias("path"), ((kind < 6) | kind.isin(12, 14, 15, 16, 18)).cast("double").alias("label"))
+    return spark.range(0, rows, 1, 1).select(value.alias("value"), key.alias("key"), before.alias("before"), after.alias("after"), path.alias("path"), ((kind < 6) | kind.isin(12, 14, 15, 16, 18)).cast("double").alias("label"))
 
 
 def train(findings: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH) -> Column:
@@ -146,28 +150,30 @@ def train(findings: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth
 
 
 def _around(text: Column) -> Column:
-    """found and before (up to 24 characters on its line) of each match; texts are cut only where there is a match."""
+    """found, before and after (up to ``BESIDE`` whole words on its line) of each match; texts are cut only where there is a match."""
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     between = F.split(text, CANDIDATE, -1)
-    each = let(between, lambda parts: F.transform(found, lambda f, i: F.struct(f.alias("found"), F.right(F.substring_index(F.get(parts, i), "\n", -1), F.lit(24)).alias("before"))))
-    return F.when(text.rlike(CANDIDATE), each).otherwise(F.array().cast("array<struct<found:string,before:string>>"))
+    before = lambda part: F.substring_index(F.substring_index(part, "\n", -1), " ", -BESIDE - 1)
+    after = lambda part: F.substring_index(F.substring_index(part, "\n", 1), " ", BESIDE + 1)
+    each = let(between, lambda parts: F.transform(found, lambda f, i: F.struct(f.alias("found"), before(F.get(parts, i)).alias("before"), after(F.get(parts, i + 1)).alias("after"))))
+    return F.when(text.rlike(CANDIDATE), each).otherwise(F.array().cast("array<struct<found:string,before:string,after:string>>"))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """id, path, no, found, key, value, before: every candidate of every text."""
+    """id, path, no, found, key, value, before, after: every candidate of every text."""
     text = F.coalesce(docs[text_col], F.lit(""))
     path = docs[path_col].cast("string") if path_col else F.lit(None).cast("string")
     some = docs.select(docs[id_col].alias("id"), path.alias("path"), F.posexplode(_around(text)).alias("no", "around"))
     key = F.regexp_extract("around.found", _SPLIT, 1)
     return some.select(
-        "id", "path", "no", F.col("around.found").alias("found"), key.alias("key"), F.substr("around.found", F.length(key) + 1).alias("value"), F.col("around.before").alias("before"),
+        "id", "path", "no", F.col("around.found").alias("found"), key.alias("key"), F.substr("around.found", F.length(key) + 1).alias("value"), F.col("around.before").alias("before"), F.col("around.after").alias("after"),
     )
 
 
 def scan(docs: DataFrame, vote: Column, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """id, no, found, key, value, vote and secret (vote of at least one half) of every candidate."""
     judged = features(candidates(docs, id_col, text_col, path_col)).withColumn("vote", F.round(vote, 6))
-    return judged.select("id", "no", "found", "key", "value", "before", "path", "vote", (F.col("vote") >= 0.5).alias("secret"))
+    return judged.select("id", "no", "found", "key", "value", "before", "after", "path", "vote", (F.col("vote") >= 0.5).alias("secret"))
 
 
 def redact(docs: DataFrame, vote: Column, text_col: str = "text", path_col: str | None = "source", mark: str = "[secret]") -> DataFrame:
@@ -185,7 +191,7 @@ def redact(docs: DataFrame, vote: Column, text_col: str = "text", path_col: str
     exploded = some.select(*names, "__row", F.col("__path").alias("path"), F.explode("__around").alias("around"))
     key = F.regexp_extract("around.found", _SPLIT, 1)
     renamed = exploded.select(
-        "__row", F.struct(*names).alias("__doc"), "path", key.alias("key"), F.substr("around.found", F.length(key) + 1).alias("value"), F.col("around.before").alias("before"),
+        "__row", F.struct(*names).alias("__doc"), "path", key.alias("key"), F.substr("around.found", F.length(key) + 1).alias("value"), F.col("around.before").alias("before"), F.col("around.after").alias("after"),
     )
     judged = features(renamed).withColumn("__secret", F.round(vote, 6) >= 0.5)
     values = judged.groupBy("__row").agg(F.first("__doc").alias("__doc"), F.array_sort(F.collect_set(F.when(F.col("__secret"), F.col("value")))).alias("__values"))

@@ -279,6 +279,14 @@ def test_common_forms_of_secrets(spark):
     assert {i: clean[i] for i in range(len(clean))} == {i: t for i, t in enumerate([t.replace(v, "[secret]") for t, v in cases] + prose)}, found
 
 
+def test_words_on_both_sides_of_a_candidate(spark):
+    vote = secrets.train(secrets.labelled_findings(spark))
+    hexed = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [f'set token = "{hexed}" # example only', f'a placeholder in the file of this page: token = "{hexed}"', f'set token = "{hexed}" # login', f'an example\nset token = "{hexed}"\nplaceholder']
+    found = secrets.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("source", F.lit("src")), vote)
+    assert {r["id"]: r["secret"] for r in found.collect()} == {0: False, 1: False, 2: True, 3: True}
+
+
 # --- Licences
 
 
