@@ -20,8 +20,8 @@ only those are kept. The (k+1)-th key is the threshold kappa of the inclusion
 score 1 - exp(-exp(log p - kappa)).
 
 No piece reaches over two neighbouring characters that stand in no piece side
-by side, so the lattice falls into units there (a longer run is cut after every
-``LONGEST_UNIT`` characters as well). New units of a batch are built together,
+by side, so the lattice falls into units there, and only there: a run that
+nothing cuts is one unit, however long. New units of a batch are built together,
 and one search round runs for all texts of a batch at once in numpy. Uniform numbers are a hash of (row key, seed, sample, place), and log
 probabilities are whole numbers (2^-30), so results depend neither on batches
 nor on partitions.
@@ -51,10 +51,9 @@ SEED = 17
 THETA = 1.0
 _FIX = float(1 << 30)
 BATCH_CHARS = 1 << 18
-#: Lattices of this many units (of ``LONGEST_UNIT`` characters at most) are kept between batches.
+#: Lattices of this many units with this many arcs are kept between batches.
 UNITS = 1 << 17
-#: Runs that no pair of characters cuts are cut after so many.
-LONGEST_UNIT = 64
+ARCS = 1 << 22
 
 
 @lru_cache(maxsize=2)
@@ -120,10 +119,6 @@ class Vocabulary:
         sizes = np.fromiter(map(len, marked), np.int64, len(marked))
         first = np.cumsum(sizes) - sizes
         begins[first[sizes > 0]] = True
-        at = np.flatnonzero(begins)
-        run = np.diff(np.append(at, len(whole)))
-        for start, length in zip(at[run > LONGEST_UNIT].tolist(), run[run > LONGEST_UNIT].tolist(), strict=True):
-            begins[start : start + length : LONGEST_UNIT] = True
         at = np.append(np.flatnonzero(begins), len(whole))
         bounds = at.tolist()
         counts = np.diff(np.append(np.searchsorted(at, first), len(bounds) - 1))
@@ -173,7 +168,7 @@ class Vocabulary:
         beta = np.zeros(n + 1)
         total = np.empty(len(start))
         far = left[start]
-        by_left = np.argsort(far.astype(np.uint8), kind="stable")  # a unit has at most LONGEST_UNIT characters
+        by_left = np.argsort(far.astype(np.uint8 if far.max(initial=0) < 256 else np.int32), kind="stable")  # bytes sort faster
         cuts = np.append(0, np.cumsum(np.bincount(far)[1:]))
         for k in range(len(cuts) - 1):  # from the ends of all units to their beginnings
             some = by_left[cuts[k] : cuts[k + 1]]
@@ -237,14 +232,14 @@ class Units:
     """Lattices of the units met so far, in arrays that double as they fill.
 
     A unit's lattice depends on nothing else, so keeping it or building it
-    again makes no difference; beyond ``UNITS`` units all are forgotten before
-    the next batch, which bounds the memory.
+    again makes no difference; beyond ``UNITS`` units or ``ARCS`` arcs all are
+    forgotten before the next batch, which bounds the memory.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.bytes = np.array(vocabulary.byte, np.int64)
-        small = dict.fromkeys(("end", "many"), np.uint8) | dict.fromkeys(("id", "node"), np.int32) | dict.fromkeys(("prob", "rest"), np.float64)
+        small = {"many": np.uint8} | dict.fromkeys(("id", "node", "end"), np.int32) | dict.fromkeys(("prob", "rest"), np.float64)
         self.kinds = dict.fromkeys(("nodes", "node0", "first", "log"), np.int64) | small
         for name, kind in self.kinds.items():
             setattr(self, name, np.empty(0, kind))
@@ -292,7 +287,7 @@ class Batch:
     """The lattices of some texts, and the search over all of them at once."""
 
     def __init__(self, units: Units, texts: list[str], keys: np.ndarray, seed: int) -> None:
-        if len(units.of) > UNITS:
+        if len(units.of) > UNITS or units.used["id"] > ARCS:
             units.clear()
         found, self.count = units.vocabulary.cut(texts)
         self.unit = np.fromiter(map(units.of.__getitem__, found), np.int64, len(found))

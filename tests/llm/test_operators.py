@@ -367,6 +367,29 @@ def test_samples_decode_and_ignore_batches(spark, odd, none):
     assert coded["decoded"] == "same text here now"
 
 
+@pytest.mark.parametrize("text", ["=" * 200, "-" * 300 + " " * 130, "aGVsbG8gd29ybGQ" * 40])
+def test_long_runs_are_whole_lattices(text):
+    """Log probabilities are those of the lattice of all pieces over the whole text, and pieces cross every place."""
+    units = lattice.units_of(public_tokenizers.path("piece_bpe_32k.model"))
+    words = units.vocabulary
+    pieces = {t: -words.theta * math.log(i + 1) for i, t in enumerate(words.text) if i not in words.byte and i > 2}
+    marked = "▁" + text.replace(" ", "▁")
+    total = [0.0] + [-math.inf] * len(marked)
+    for end in range(1, len(marked) + 1):
+        ways = [total[a] + pieces[marked[a:end]] for a in range(max(0, end - words.longest), end) if marked[a:end] in pieces]
+        total[end] = float(np.logaddexp.reduce(ways))
+    crossed = set()
+    for key in range(30):
+        batch = lattice.Batch(units, [text], np.array([key]), 3)
+        for log, _, _, arcs in batch.search(2)[0]:
+            ids = batch.pieces(arcs, words)
+            assert lattice.decode_ids(words, ids) == text
+            assert abs(log - (sum(pieces[words.text[i]] for i in ids) - total[-1])) < 1e-5
+            ends = np.cumsum([len(words.text[i]) for i in ids])
+            crossed |= set(range(64, len(marked), 64)) - set(ends.tolist())
+    assert crossed
+
+
 # --- Pipeline
 
 
