@@ -2,20 +2,21 @@
 
 Every document gets base counts (words, symbols, repeated lines, words in
 repeated 3-word windows) and a score: the mean, over its n-grams, of
-log p(n-gram | trusted target) - log p(n-gram | raw corpus). An n-gram is the
-last three characters of a word, hashed (XXH64) into a fixed number of buckets;
+log p(n-gram | trusted target) - log p(n-gram | raw corpus). The n-grams are
+all windows of three characters of every word with a space at either end,
+hashed (XXH64) into a fixed number of buckets;
 both sides are multinomials over the buckets with add-one smoothing. The raw
 side counts every n-gram of every document, the target side those of all
 documents labelled good. The mean makes scores of short and long texts
 comparable, and each document is compared with one fixed threshold, in whole
 numbers (the ratios are rounded to 2^-20), so reruns agree to the bit.
 
-Word endings show symbols glued to words, shouting and table rules, and, being
+They show symbols glued to words anywhere, shouting and table rules, and, being
 a small set, are seen often enough to be estimated; whole words aren't.
 
 The bucket table has a fixed size, so it can be sent to every task as a
-literal. Only built-in functions are used, texts aren't shuffled: counting
-joins labels to arrays of bucket numbers, scoring is a projection.
+literal. Only built-in functions are used: counting joins labels to texts,
+which are smaller than their arrays of bucket numbers, scoring is a projection.
 
 Defined results: a null text has no words and fails the base rules; a null id
 is scored but matches no label; a document labelled both ways counts as good if
@@ -38,14 +39,21 @@ from assayer.session import table
 BUCKETS = 1 << 15
 SCALE = 1 << 20
 #: Nats for each n-gram. Documents of the trusted side score about 0.
-THRESHOLD = -1.5
+THRESHOLD = -0.35
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 
-def bucket(word: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(F.right(word, F.lit(3))), F.lit(buckets)).cast("int")
+#: A window of three characters of a word between single spaces; two spaces part words.
+_GRAM = "(?=( [^ ]{2}| [^ ] |[^ ]{3}|[^ ]{2} ))"
+
+
+def buckets_of(words: Column, buckets: int = BUCKETS) -> Column:
+    """The bucket of every n-gram of every word, as many as the words have characters."""
+    spaced = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+    grams = F.regexp_extract_all(spaced, F.lit(_GRAM), F.lit(1))
+    return F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))
 
 
 @dataclass(frozen=True)
@@ -63,10 +71,9 @@ class RatioModel:
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> RatioModel:
     """Count both multinomials over all of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality)."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id", F.lit(True).alias("good")).distinct()
-    grams = docs.select("doc_id", F.transform(words_of(F.col("text")), lambda w: bucket(w, buckets).cast("short")).alias("b"))
     counts = (
-        grams.join(good.hint("merge"), "doc_id", "left")  # labels grow with the corpus: one plan for every size
-        .select(F.explode("b").alias("bucket"), F.coalesce("good", F.lit(False)).alias("good"))
+        docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")  # labels grow with the corpus: one plan for every size
+        .select(F.explode(buckets_of(words_of(F.col("text")), buckets)).alias("bucket"), F.coalesce("good", F.lit(False)).alias("good"))
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("target"))
     )
@@ -125,17 +132,18 @@ def judge(docs: DataFrame, model: RatioModel, text_col: str = "text") -> DataFra
         lambda w: F.struct(
             F.size(w).cast("long").alias("n"),
             repeated_words(w).alias("again"),
-            F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.get(lookup, bucket(x, len(model.ratios)))).alias("sum"),
+            F.aggregate(buckets_of(w, len(model.ratios)), F.lit(0).cast("long"), lambda s, x: s + F.get(lookup, x)).alias("sum"),
+            F.length(F.array_join(w, "")).cast("long").alias("grams"),
         ),
     )
     limit = F.lit(math.floor(model.threshold * SCALE)).cast("long")
 
     def verdict(c: Column) -> Column:
         failed = (c["n"] < MIN_WORDS) | (100 * c["again"] > MAX_REPEAT_PERCENT * c["n"])
-        score = F.when(c["n"] > 0, c["sum"] / c["n"] / SCALE).otherwise(0.0)
+        score = F.when(c["grams"] > 0, c["sum"] / c["grams"] / SCALE).otherwise(0.0)
         return F.struct(
             c["n"].alias("n_words"), c["again"].alias("n_repeat_words"), failed.alias("base_failed"),
-            score.alias("score"), (~failed & (c["sum"] >= limit * c["n"])).alias("kept"),
+            score.alias("score"), (~failed & (c["sum"] >= limit * c["grams"])).alias("kept"),
         )
 
     judged = docs.select(

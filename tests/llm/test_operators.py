@@ -212,6 +212,18 @@ def test_quality_odd_inputs(spark, odd, none):
     assert set(quality.fit(odd, labels.where("false")).ratios) == {0}
 
 
+@pytest.mark.parametrize("where", ["start", "middle", "end"])
+def test_quality_sees_junk_anywhere_in_words(spark, data, where):
+    """Copies of good documents with symbols glued to each word go, wherever in the word they stand; the documents stay."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{data}/labels.parquet")
+    good = quality.judge(docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id"), quality.fit(docs, labels)).where("kept").select("doc_id", "text").collect()
+    glue = {"start": lambda w, c: c * 2 + w, "middle": lambda w, c: w[: len(w) // 2] + c * 2 + w[len(w) // 2 :], "end": lambda w, c: w + c * 2}[where]
+    junk = [(-1 - r["doc_id"], " ".join(glue(w, "#*$%&|<>"[i % 8]) for i, w in enumerate(r["text"].split()))) for r in good]
+    both = docs.unionByName(spark.createDataFrame(junk, "doc_id long, text string"))
+    kept = {r["doc_id"] for r in quality.judge(both, quality.fit(both, labels)).where("kept").collect()}
+    assert len(good) > 50 and {r["doc_id"] for r in good} <= kept and not kept & {i for i, _ in junk}
+
+
 # --- Mixing
 
 
