@@ -3,26 +3,30 @@
 Every document gets base counts (words, symbols, repeated lines, words in
 repeated 3-word windows) and a score: the mean, over its n-grams, of
 log p(n-gram | trusted target) - log p(n-gram | raw corpus). The n-grams are
-all windows of three characters of every word with a space at either end,
-hashed (XXH64) into a fixed number of buckets;
-both sides are multinomials over the buckets with add-one smoothing. The raw
-side counts every n-gram of every document, the target side those of all
-documents labelled good. The mean makes scores of short and long texts
-comparable, and each document is compared with one fixed threshold, in whole
-numbers (the ratios are rounded to 2^-20), so reruns agree to the bit.
-
-They show symbols glued to words anywhere, shouting and table rules, and, being
-a small set, are seen often enough to be estimated; whole words aren't.
+the single tokens and the pairs of neighbouring tokens of the whole text (the
+last token is paired with the end), hashed (XXH64) into a fixed number of
+buckets; a token is a run of letters, marks and digits or a run of other
+characters, so symbols count wherever in a word they are glued. The raw side
+counts every n-gram of every document, the target side those of all documents
+labelled good. Both multinomials get the same mass for each bucket, one n-gram
+of the target (``log((t + 1) / (r * T / R + 1))``), so what is seldom seen
+speaks for neither side, however large the raw side is. The mean makes scores
+of short and long texts comparable, and each document is compared with one
+fixed threshold, in whole numbers (the ratios are rounded to 2^-20), so reruns
+agree to the bit.
 
 The bucket table has a fixed size, so it can be sent to every task as a
 literal. Only built-in functions are used: counting joins labels to texts,
 which are smaller than their arrays of bucket numbers, scoring is a projection.
+Rows without an id find no label and are counted without the join.
 
 Defined results: a null text has no words and fails the base rules; a null id
 is scored but matches no label; a document labelled both ways counts as good if
-any row says so; without a good label at all every score is zero; repeated rows
-count as often as they occur; an empty table gives an empty table. Columns of
-the input that are named like a result are replaced.
+any row says so; without a good label at all every score is zero; a score equal
+to the threshold keeps; repeated rows count as often as they occur; texts of any
+length are read whole (a task holds the tokens of one text); an empty table
+gives an empty table. Columns of the input that are named like a result are
+replaced.
 """
 
 from __future__ import annotations
@@ -33,27 +37,41 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.words import ascii_count, let, word_chars, words_of
+from assayer.llm.words import ascii_count, let, unused, word_chars, words_of
 from assayer.session import table
 
 BUCKETS = 1 << 15
 SCALE = 1 << 20
-#: Nats for each n-gram. Documents of the trusted side score about 0.
-THRESHOLD = -0.35
+#: Nats for each n-gram. Documents of the trusted side score about 0, those with symbols at every word about -1.
+THRESHOLD = -0.6
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 
-#: A window of three characters of a word between single spaces; two spaces part words.
-_GRAM = "(?=( [^ ]{2}| [^ ] |[^ ]{3}|[^ ]{2} ))"
+#: A run of letters, marks and digits, or of anything else but white space.
+TOKEN = "[\\p{L}\\p{M}\\p{N}]+|[^\\p{L}\\p{M}\\p{N}\\x20\\x09-\\x0D]+"
+
+
+def tokens_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
+def _bucket(buckets: int, *parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
 
 
-def buckets_of(words: Column, buckets: int = BUCKETS) -> Column:
-    """The bucket of every n-gram of every word, as many as the words have characters."""
-    spaced = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
-    grams = F.regexp_extract_all(spaced, F.lit(_GRAM), F.lit(1))
-    return F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))
+def buckets_of(text: Column, buckets: int = BUCKETS) -> Column:
+    """The buckets of every token and of every pair of neighbours (the last one's is the end)."""
+    single = lambda t: _bucket(buckets, t)
+    return let(tokens_of(text), lambda w: F.concat(F.transform(w, single), F.transform(w, lambda t, i: _bucket(buckets, F.lit(2), t, F.get(w, i + 1)))))
+
+
+def ratio_sum(text: Column, lookup: Column, buckets: int) -> Column:
+    """Struct of ``sum`` (of the scaled ratios of all n-grams) and ``grams`` (their number)."""
+    each = lambda w: F.transform(w, lambda t, i: F.get(lookup, _bucket(buckets, t)) + F.get(lookup, _bucket(buckets, F.lit(2), t, F.get(w, i + 1))))
+    total = lambda w: F.aggregate(each(w), F.lit(0).cast("long"), lambda s, x: s + x)
+    return let(tokens_of(text), lambda w: F.struct(total(w).alias("sum"), (2 * F.size(w)).cast("long").alias("grams")))
 
 
 @dataclass(frozen=True)
@@ -71,21 +89,26 @@ class RatioModel:
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> RatioModel:
     """Count both multinomials over all of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality)."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id", F.lit(True).alias("good")).distinct()
+    texts = docs.select("doc_id", "text")
+    named = texts.where("doc_id is not null").join(good.hint("merge"), "doc_id", "left")  # labels grow with the corpus: one plan for every size
     counts = (
-        docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")  # labels grow with the corpus: one plan for every size
-        .select(F.explode(buckets_of(words_of(F.col("text")), buckets)).alias("bucket"), F.coalesce("good", F.lit(False)).alias("good"))
+        named.unionByName(texts.where("doc_id is null").withColumn("good", F.lit(False)))
+        .select(F.explode(buckets_of(F.col("text"), buckets)).alias("bucket"), F.coalesce("good", F.lit(False)).alias("good"))
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("target"))
     )
     raw, target = [0] * buckets, [0] * buckets
     for row in counts.toLocalIterator():  # at most one row for each bucket
-        at = row["bucket"] % buckets
-        raw[at], target[at] = row["raw"], row["target"]
+        raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
+    return RatioModel(ratios(raw, target), threshold)
+
+
+def ratios(raw: list[int], target: list[int]) -> tuple[int, ...]:
+    """Scaled log ratio of each bucket; zeros without a target."""
     if not sum(target):
-        return RatioModel((0,) * buckets, threshold)
-    log_raw, log_target = math.log(sum(raw) + buckets), math.log(sum(target) + buckets)
-    ratios = (round(SCALE * (math.log(t + 1) - log_target - math.log(r + 1) + log_raw)) for r, t in zip(raw, target, strict=True))
-    return RatioModel(tuple(ratios), threshold)
+        return (0,) * len(raw)
+    share = sum(target) / sum(raw)
+    return tuple(round(SCALE * (math.log(t + 1) - math.log(r * share + 1))) for r, t in zip(raw, target, strict=True))
 
 
 def repeated_words(words: Column) -> Column:
@@ -132,18 +155,19 @@ def judge(docs: DataFrame, model: RatioModel, text_col: str = "text") -> DataFra
         lambda w: F.struct(
             F.size(w).cast("long").alias("n"),
             repeated_words(w).alias("again"),
-            F.aggregate(buckets_of(w, len(model.ratios)), F.lit(0).cast("long"), lambda s, x: s + F.get(lookup, x)).alias("sum"),
-            F.length(F.array_join(w, "")).cast("long").alias("grams"),
+            ratio_sum(text, lookup, len(model.ratios)).alias("ratio"),
         ),
     )
     limit = F.lit(math.floor(model.threshold * SCALE)).cast("long")
+    held = unused(docs.columns, "__verdict")
 
     def verdict(c: Column) -> Column:
         failed = (c["n"] < MIN_WORDS) | (100 * c["again"] > MAX_REPEAT_PERCENT * c["n"])
-        score = F.when(c["grams"] > 0, c["sum"] / c["grams"] / SCALE).otherwise(0.0)
+        total, grams = c["ratio"]["sum"], c["ratio"]["grams"]
+        score = F.when(grams > 0, total / grams / SCALE).otherwise(0.0)
         return F.struct(
             c["n"].alias("n_words"), c["again"].alias("n_repeat_words"), failed.alias("base_failed"),
-            score.alias("score"), (~failed & (c["sum"] >= limit * c["grams"])).alias("kept"),
+            score.alias("score"), (~failed & (total >= limit * grams)).alias("kept"),
         )
 
     judged = docs.select(
@@ -151,9 +175,9 @@ def judge(docs: DataFrame, model: RatioModel, text_col: str = "text") -> DataFra
         word_chars(text).alias("word_chars"),
         ascii_count(text, SYMBOLS).alias("n_symbols"),
         repeated_lines(text).alias("n_dup_lines"),
-        let(counts, verdict).alias("__v"),
+        let(counts, verdict).alias(held),
     )
-    v = F.col("__v")
+    v = F.col(held)
     return judged.select(
         *names, v["n_words"].alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", v["n_repeat_words"].alias("n_repeat_words"),
         v["base_failed"].alias("base_failed"), v["score"].alias("score"), v["kept"].alias("kept"),

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import near_copies
 from assayer.llm.components import star_components
+from assayer.llm.words import unused
 from assayer.session import materialize
 
 BITS = 64
@@ -246,13 +247,6 @@ def near_duplicates(
     return docs.join(named, "fp").select("id", "fp", "text_hash", "root", "component_id")
 
 
-def unused(columns: list[str], name: str) -> str:
-    """``name``, with underscores in front until no column is called so."""
-    while name.lower() in {c.lower() for c in columns}:
-        name = "_" + name
-    return name
-
-
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, one for each group of near copies (``near_copies``): its smallest id (then text hash), once."""
     # plain equality of three columns, so the join's shuffle and order serve the removal of repeats too

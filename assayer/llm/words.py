@@ -45,3 +45,11 @@ def ascii_count(text: Column, chars: str) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value`` evaluated once, whatever the optimizer merges around it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -203,6 +203,49 @@ def test_quality_counts_by_brute_force(spark, data):
     assert (sure.kept == (sure.quality == 1)).mean() > 0.98
 
 
+def quality_score(texts, good, buckets=quality.BUCKETS):
+    """Sum of scaled ratios and number of n-grams of each text, by the definition."""
+    import regex
+    import struct
+
+    import xxhash
+
+    def grams(text):
+        tokens = regex.findall(r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+", text or "")
+        hashes = [xxhash.xxh64_intdigest(t, 42) for t in tokens]
+        two = xxhash.xxh64_intdigest(struct.pack("<i", 2), 42)
+        for a, b in zip(tokens, [*tokens[1:], None], strict=False):
+            h = xxhash.xxh64_intdigest(a, two)
+            hashes.append(h if b is None else xxhash.xxh64_intdigest(b, h))
+        return [h % buckets for h in hashes]  # the modulus divides 2^64, so the sign doesn't matter
+
+    found = [grams(t) for t in texts]
+    raw, target = [0] * buckets, [0] * buckets
+    for gs, is_good in zip(found, good, strict=True):
+        for g in gs:
+            raw[g] += 1
+            target[g] += is_good
+    share = sum(target) / sum(raw)
+    ratio = [round((1 << 20) * (math.log(t + 1) - math.log(r * share + 1))) for r, t in zip(raw, target, strict=True)]
+    return [(sum(ratio[g] for g in gs), len(gs)) for gs in found]
+
+
+def test_quality_verdicts_by_brute_force(spark, data):
+    docs, labels = documents(data), pd.read_parquet(f"{data}/labels.parquet")
+    good = set(labels[labels.quality == 1].doc_id)
+    want = dict(zip(docs.doc_id, quality_score(docs.text, docs.doc_id.isin(good)), strict=True))
+    got = quality.op8_quality(spark, data).toPandas()
+    for row in got.itertuples():
+        total, grams = want[row.doc_id]
+        assert row.kept == (not row.base_failed and total >= math.floor(quality.THRESHOLD * (1 << 20)) * grams)
+
+
+def test_quality_keeps_a_tie_at_the_threshold(spark):
+    docs = spark.createDataFrame([(1, "a " * 20 + " ".join(f"w{i}" for i in range(60)))], "doc_id long, text string")
+    flat = quality.RatioModel((-1 << 19,) * 64, -0.5)
+    assert quality.judge(docs, flat).first()["kept"] and not quality.judge(docs, quality.RatioModel(((-1 << 19) - 1,) * 64, -0.5)).first()["kept"]
+
+
 def test_quality_odd_inputs(spark, odd, none):
     labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(odd, labels)
@@ -210,6 +253,9 @@ def test_quality_odd_inputs(spark, odd, none):
     assert len(got) == 7 and got[got.text.isna()].base_failed.all()
     assert quality.judge(none, quality.fit(none, labels)).count() == 0
     assert set(quality.fit(odd, labels.where("false")).ratios) == {0}
+    clash = odd.withColumn("__verdict", F.lit("mine")).withColumn("kept", F.lit(5)).withColumn("score", F.lit("s"))
+    again = quality.judge(clash, model)
+    assert again.toPandas()["__verdict"].eq("mine").all() and dict(again.dtypes)["kept"] == "boolean"
 
 
 @pytest.mark.parametrize("where", ["start", "middle", "end"])
