@@ -29,14 +29,16 @@ nor on partitions.
 Defined results: a null or empty text has one segmentation, of no pieces, with
 log probability 0; a text with fewer than k segmentations gives them all, and
 then every inclusion score is 1; rows with equal keys and texts give equal
-samples; a null key counts as 0; other columns are ignored.
+samples, and repeated rows give repeated samples; a null key counts as 0; very
+long texts are whole lattices (a task holds one text's arcs); an empty table
+gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -52,8 +54,8 @@ THETA = 1.0
 _FIX = float(1 << 30)
 BATCH_CHARS = 1 << 18
 #: Lattices of this many units with this many arcs are kept between batches.
-UNITS = 1 << 17
-ARCS = 1 << 22
+UNITS = 1 << 18
+ARCS = 5 << 20
 
 
 @lru_cache(maxsize=2)
@@ -275,8 +277,9 @@ class Units:
         plain = (ids < 0) & (ids >= -128)  # one byte is one piece
         ids[plain] = self.bytes[-1 - ids[plain]]
         prob = np.exp(log / _FIX)
-        rest = np.log(np.maximum(1.0 - prob, 1e-15))
-        rest[many[node] == 1] = -np.inf  # no other arc leaves the node
+        main = prob > 0.5  # of such an arc the others are summed: one minus it would cancel
+        with np.errstate(divide="ignore"):  # -inf: no other arc leaves the node
+            rest = np.where(main, np.log(np.add.reduceat(np.where(main, 0.0, prob), first)[node]), np.log1p(-np.where(main, 0.0, prob)))
         self._add(
             node0=np.cumsum(nodes) - nodes + self.used["many"], nodes=nodes, node=node + self.used["many"],
             first=first + self.used["id"], many=many, end=end, id=ids, log=log, prob=prob, rest=rest,
@@ -347,6 +350,41 @@ class Batch:
             arcs[begin[order] + k] = arc
         return np.repeat(slot, length), arcs, begin
 
+    def fork(self, work: list[int], entries: list[tuple], sample: int) -> tuple:
+        """Draw a path of each entry (an earlier path, the step where it is left, the arcs barred there).
+
+        Returns all paths in a row (slot, arc, offset of each), the steps that
+        each shares with its earlier one, the log of what leaves it at each
+        step, and the arcs that are now barred at its fork.
+        """
+        units = self.units
+        came = np.array([step for _, step, _ in entries], np.int64)
+        first_u = _uniform(self.key[work], np.full(len(work), 2 * sample + 1), came).tolist()
+        chosen, left, slots, locals_ = [], [], [], []
+        for d, ((slot, arc), step, bar), u in zip(work, entries, first_u, strict=True):
+            node = int(units.node[arc[step]])
+            chosen.append(self.draw_other(node, u, bar))
+            first = int(units.first[node])
+            left.append(sum(units.prob[a] for a in range(first, first + int(units.many[node])) if a != chosen[-1] and a not in bar))
+            slots.append(np.arange(slot[step], self.begin[d] + self.count[d]))
+            locals_.append(np.zeros(len(slots[-1]), np.int64))
+            locals_[-1][0] = units.end[chosen[-1]]
+        slot, arc, begin = self.walk(np.concatenate(slots), np.concatenate(locals_), sample)
+        cut = begin[np.append(0, np.cumsum([len(s) for s in slots]))]
+        offset = np.append(0, np.cumsum(came + 1 + np.diff(cut)))
+        all_slot, all_arc = np.empty(offset[-1], np.int64), np.empty(offset[-1], np.int64)
+        for j, ((old_slot, old_arc), step, _) in enumerate(entries):
+            at, fork = offset[j], offset[j] + step
+            all_slot[at : fork + 1] = old_slot[: step + 1]
+            all_arc[at:fork] = old_arc[:step]
+            all_slot[fork + 1 : offset[j + 1]] = slot[cut[j] : cut[j + 1]]
+            all_arc[fork + 1 : offset[j + 1]] = arc[cut[j] : cut[j + 1]]
+        all_arc[offset[:-1] + came] = chosen
+        rest = units.rest[all_arc]
+        with np.errstate(divide="ignore"):
+            rest[offset[:-1] + came] = np.log(left)
+        return all_slot, all_arc, offset, came, rest, [(*bar, c) for (_, _, bar), c in zip(entries, chosen, strict=True)]
+
     def search(self, k: int) -> list[list[tuple[float, float, float, np.ndarray]]]:
         """For each text up to k of (log p, key, inclusion, arcs), best first."""
         units, n = self.units, len(self.count)
@@ -358,63 +396,46 @@ class Batch:
             if not work:
                 break
             tops = [queue[d].pop(0) for d in work]
-            bars: list[tuple[int, ...]] = [()] * len(work)
-            heads: list[tuple[np.ndarray, np.ndarray]] = [(self.unit[:0], self.unit[:0])] * len(work)
-            came = np.zeros(len(work), np.int64)  # steps shared with the earlier path
-            slots, locals_ = [], []
-            for j, d in enumerate(work):
-                at, local = self.begin[d], 0
-                if tops[j][1] is not None:  # the arc that leaves the earlier path
-                    (slot, arc), step, bar = tops[j][1]
-                    u = float(_uniform(self.key[d : d + 1], 2 * sample + 1, step)[0])
-                    chosen = self.draw_other(int(units.node[arc[step]]), u, bar)
-                    heads[j] = slot[: step + 1], np.append(arc[:step], chosen)
-                    bars[j], came[j] = (*bar, chosen), step
-                    at, local = slot[step], int(units.end[chosen])
-                slots.append(np.arange(at, self.begin[d] + self.count[d]))
-                locals_.append(np.zeros(len(slots[-1]), np.int64))
-                locals_[-1][:1] = local
-            sizes = np.array([len(s) for s in slots], np.int64)
-            slot, arc, begin = self.walk(np.concatenate(slots), np.concatenate(locals_), sample)
-            cut = begin[np.append(0, np.cumsum(sizes))].tolist()
-            paths = [
-                (np.concatenate([h[0], slot[a:b]]), np.concatenate([h[1], arc[a:b]])) if len(h[0]) else (slot[a:b], arc[a:b])
-                for h, a, b in zip(heads, cut, cut[1:], strict=False)
-            ]
+            if sample:
+                slot, arc, offset, came, rest, bars = self.fork(work, [t[1] for t in tops], sample)
+            else:
+                every = np.arange(len(self.unit))
+                slot, arc, begin = self.walk(every, np.zeros(len(every), np.int64), 0)
+                offset = begin[np.append(self.begin, len(self.unit))]
+                came, rest, bars = np.zeros(n, np.int64), units.rest[arc], [()] * n
             # all paths in a row: their log probabilities, and the sets that leave them
-            long = np.array([len(p[1]) for p in paths], np.int64)
-            offset = np.append(0, np.cumsum(long))
-            arc = np.concatenate([p[1] for p in paths])
-            log = units.log[arc]
-            through = np.append(0, np.cumsum(log))
+            long = np.diff(offset)
+            through = np.append(0, np.cumsum(units.log[arc]))
             owner = np.repeat(np.arange(len(work)), long)
-            rest = units.rest[arc]
-            for j in range(len(work)):
-                if bars[j]:
-                    fork = offset[j] + came[j]
-                    left = units.many[units.node[arc[fork]]] > len(bars[j])
-                    rest[fork] = math.log(max(1.0 - float(units.prob[list(bars[j])].sum()), 1e-15)) if left else -math.inf
             step = np.arange(len(arc)) - offset[owner]
             open_ = np.flatnonzero((step >= came[owner]) & (rest > -np.inf))
             step, of = step[open_], owner[open_]
             mean = (through[open_] - through[offset[of]]) / _FIX + rest[open_]
-            who = np.array(work, np.int64)
             top = np.array([t[0] for t in tops])
-            u = _unit_interval(_stir(_stir(self.key[who], 2 * sample + 1)[of], step + (1 << 40)))
+            u = _unit_interval(_stir(_stir(self.key[work], 2 * sample + 1)[of], step + (1 << 40)))
             keys = _below(mean, top[of], u)
             bounds = np.searchsorted(of, np.arange(len(work) + 1)).tolist()
-            total = (through[offset[1:]] - through[offset[:-1]]).tolist()
+            total = ((through[offset[1:]] - through[offset[:-1]]) / _FIX).tolist()
+            ends = offset.tolist()
+            last = sample + 1 == k  # no more searching: only the best key of the rest is asked for
+            if last:
+                best_key = np.full(len(work), -np.inf)
+                some = np.flatnonzero(np.diff(bounds))
+                if len(some):
+                    best_key[some] = np.maximum.reduceat(keys, np.array(bounds[:-1])[some])
+                best_keys = best_key.tolist()
             for j, d in enumerate(work):
-                path, a, b = paths[j], bounds[j], bounds[j + 1]
-                done[d].append((total[j] / _FIX, tops[j][0], path[1]))
-                if sample + 1 == k:  # no more searching: only the best of the rest is asked for
-                    best = [a + int(np.argmax(keys[a:b]))] if b > a else []
+                path = (slot[ends[j] : ends[j + 1]], arc[ends[j] : ends[j + 1]])
+                done[d].append((total[j], tops[j][0], path[1]))
+                if last:
+                    if best_keys[j] > -math.inf:
+                        queue[d].append((best_keys[j], None))
                 else:
-                    best = (a + np.argpartition(-keys[a:b], k)[: k + 1]).tolist() if b - a > k + 1 else range(a, b)
-                for at in best:
-                    s = int(step[at])
-                    bar = bars[j] if bars[j] and s == came[j] else (int(path[1][s]),)
-                    queue[d].append((float(keys[at]), (path, s, bar)))
+                    a, b = bounds[j], bounds[j + 1]
+                    for at in (a + np.argpartition(-keys[a:b], k)[: k + 1]).tolist() if b - a > k + 1 else range(a, b):
+                        s = int(step[at])
+                        bar = bars[j] if bars[j] and s == came[j] else (int(path[1][s]),)
+                        queue[d].append((float(keys[at]), (path, s, bar)))
                 queue[d].sort(key=lambda q: -q[0])
                 del queue[d][k + 1 :]
         out = []
@@ -454,9 +475,20 @@ def units_of(path: str) -> Units:
     return _loaded[path]
 
 
-def sample(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, seed: int = SEED) -> DataFrame:
-    """id, sample (1..k), ids, log_prob, gumbel, inclusion, decoded for each row and sample."""
+_SAMPLES = "id long, sample int, ids array<int>, log_prob double, gumbel double, inclusion double, decoded string"
+
+
+def sample(
+    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, seed: int = SEED,
+    then: tuple[Callable[[pa.RecordBatch], pa.RecordBatch], str] | None = None,
+) -> DataFrame:
+    """id, sample (1..k), ids, log_prob, gumbel, inclusion, decoded for each row and sample.
+
+    ``then``: a function of such a batch and the schema of what it returns, run
+    in the same worker, for callers that want less than all ids and texts.
+    """
     source = df.select(df[id_col].cast("long").alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
+    finish, schema = then or (lambda batch: batch, _SAMPLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = units_of(path)
@@ -473,7 +505,8 @@ def sample(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             columns = list(zip(*rows, strict=True))
             ends = np.append(0, np.cumsum([len(p) for p in columns[2]])).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[2]).astype(np.int32)))
-            return pa.RecordBatch.from_arrays([lists if t is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "sample", "ids", "log_prob", "gumbel", "inclusion", "decoded"])
+            arrays = [lists if t is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            return finish(pa.RecordBatch.from_arrays(arrays, names=["id", "sample", "ids", "log_prob", "gumbel", "inclusion", "decoded"]))
 
         for batch in batches:
             ids, texts, size = [], [], 0
@@ -488,7 +521,7 @@ def sample(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             if ids:
                 yield some(ids, texts)
 
-    return source.mapInArrow(run, "id long, sample int, ids array<int>, log_prob double, gumbel double, inclusion double, decoded string")
+    return source.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -503,19 +536,24 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     return df.withColumn("decoded", text(df[ids_col]))
 
 
-def digests(samples: DataFrame) -> DataFrame:
-    """Samples with digests in place of ids and text."""
-    return samples.select(
-        F.col("id").alias("doc_id"), "sample", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("text_sha256"), "log_prob", "gumbel", "inclusion",
-    )
+_DIGESTS = "doc_id long, sample int, n_pieces long, ids_sha256 string, text_sha256 string, log_prob double, gumbel double, inclusion double"
+
+
+def digests(samples: pa.RecordBatch) -> pa.RecordBatch:
+    """Samples with digests in place of ids (as 32-bit little-endian numbers) and decoded text (as UTF-8)."""
+    ids, text = samples.column("ids"), samples.column("decoded")
+    ends, numbers = ids.offsets.to_numpy(), memoryview(ids.values.to_numpy().astype("<i4"))
+    ids_sha = [hashlib.sha256(numbers[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+    text_sha = [hashlib.sha256(t.as_buffer()).hexdigest() for t in text]
+    columns = [samples.column("id"), samples.column("sample"), pa.array(np.diff(ends).astype(np.int64)), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *map(samples.column, ("log_prob", "gumbel", "inclusion"))]
+    return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _DIGESTS.split(", ")])
 
 
 def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(sample(docs, public_tokenizers.path("piece_bpe_32k.model")))
+    return sample(docs, public_tokenizers.path("piece_bpe_32k.model"), then=(digests, _DIGESTS))
 
 
 QUERIES = {"op1_lattice": op1_lattice}
