@@ -365,7 +365,7 @@ def test_chat_template_is_reversible():
     rnd = random.Random(7)
     bits = ["\\", "###", "#", "</turn>", "<", "/turn>", ": ", " ", "\n", "### Assistant: x </turn>\n", "é"]
     turns = [("".join(rnd.choice(bits) for _ in range(rnd.randrange(4))), "".join(rnd.choice(bits) for _ in range(rnd.randrange(9)))) for _ in range(3000)]
-    assert list(chat.read_turns("".join(chat.render_turn(*t) for t in turns))) == turns
+    assert list(chat.read_turns("".join(chat.render_turn(*t)[0] for t in turns))) == turns
 
 
 def test_chat_folds_events(spark):
@@ -384,6 +384,46 @@ def test_chat_folds_events(spark):
     assert chat.digest(chat.format_events(events.where("false"))).count() == 0
 
 
+def test_chat_mask_holds_each_assistant_text_once(spark):
+    """Spans read back are the assistant texts, over parts of any size; ties, repeated rows, nulls and clashing names."""
+    rnd = random.Random(9)
+    bits = ["\\", "###", "</turn>", " </turn>\n", ":", "é", "word ", "😀", "\n"]
+    rows = [(c, t, rnd.choice(["user", "assistant", "a:b\\", "system"]), "".join(rnd.choice(bits) for _ in range(rnd.randrange(80)))) for c in range(9) for t in range(12)]
+    rows += [(20, 1, "assistant", "x"), (20, 1, "assistant", "x"), (20, 1, "user", "y"), (20, None, None, None), (None, 0, "assistant", LONG), (21, 2, "assistant", "b"), (21, 2, "assistant", "a")]
+    want = collections.defaultdict(list)
+    for c, _, role, text in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2] or "", hashlib.md5((r[3] or "").encode()).hexdigest())):
+        want[c].append((role or "", text or ""))
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("kind", F.lit(1)).withColumn("step", F.lit("s")).withColumn("msg_id", F.lit(2)).repartition(4)
+    events = chat.events_from_turns(turns)
+    assert {r["kind"] for r in events.select("kind").distinct().collect()} == {"open", "delta", "edit", "regenerate"}
+    for part_chars in (1 << 20, 50):
+        formatted = chat.format_events(events, part_chars)
+        got, masked = collections.defaultdict(list), collections.defaultdict(list)
+        for r in sorted(formatted.collect(), key=lambda r: r["part"]):
+            got[r["conv_id"]] += chat.read_turns(r["formatted"])
+            masked[r["conv_id"]] += [chat.unescape(r["formatted"][s["begin"] : s["end"]]) for s in r["loss_spans"]]
+        assert got == want
+        assert masked == {c: [t for role, t in want[c] if role == "assistant"] for c in want}
+
+
+def test_chat_reader_is_linear_in_memory():
+    import tracemalloc
+
+    text = "\\ ### </turn> plain " * 1_000_000
+    turn = chat.render_turn("assistant", text)[0]
+    tracemalloc.start()
+    assert list(chat.read_turns(turn)) == [("assistant", text)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(turn)
+
+
+@pytest.mark.parametrize("bad", ["x", "### user: a", "### user a </turn>\n", "### user: a </turn>\n?", "## user: a </turn>\n"])
+def test_chat_reader_refuses_what_it_did_not_write(bad):
+    with pytest.raises(ValueError):
+        list(chat.read_turns(bad))
+
+
 def test_keep_one_ignores_clashing_names(spark):
     rows = [(1, "a b c d", 1), (1, "a b c d", 2), (2, "a b c d", 3), (None, "e f g h", 4), (None, None, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, __id long").withColumn("__hash", F.lit(0))
@@ -407,6 +447,40 @@ def test_samples_are_without_replacement_and_weigh_up():
     assert abs(sum(math.exp(x[0]) / x[2] for f in found for x in f) / n - 1) < 0.02
 
 
+@pytest.mark.parametrize("text", ["the a", "cat", "x=é", "==--", "日本", "a b"])
+def test_samples_against_full_enumeration(text):
+    """With room for all, every segmentation comes once with its exact probability; with less room the draws agree with it."""
+    units = lattice.units_of(public_tokenizers.path("piece_bpe_32k.model"))
+    words = units.vocabulary
+    weight = lambda i: -words.theta * math.log(i + 1)
+    pieces = {t: [i] for i, t in enumerate(words.text) if i not in words.byte and i > 2}
+    marked = "▁" + text.replace(" ", "▁")
+    steps = lambda a: [(b, pieces[marked[a:b]]) for b in range(a + 1, len(marked) + 1) if marked[a:b] in pieces] or [(a + 1, [])]
+
+    def ways(a):
+        if a == len(marked):
+            yield []
+            return
+        found = steps(a)
+        if a + 1 not in [b for b, _ in found] or found == [(a + 1, [])]:  # a character that is no piece is its bytes
+            found = [f for f in found if f[1]] + [(a + 1, [words.byte[x] for x in marked[a].encode()])]
+        for b, ids in found:
+            for rest in ways(b):
+                yield ids + rest
+
+    every = {tuple(w): sum(map(weight, w)) for w in ways(0)}
+    top = np.logaddexp.reduce(list(every.values()))
+    batch = lattice.Batch(units, [text], np.array([5]), 17)
+    found = batch.search(len(every) + 2)[0]
+    got = {tuple(batch.pieces(arcs, words).tolist()): log for log, _, _, arcs in found}
+    assert got.keys() == every.keys() and len(found) == len(every)
+    assert all(abs(got[w] - (every[w] - top)) < 1e-6 for w in every) and all(f[2] == 1.0 for f in found)
+    n, k = 3000, 2
+    many = lattice.Batch(units, [text] * n, np.arange(n), 17)
+    first = collections.Counter(tuple(many.pieces(f[0][3], words).tolist()) for f in many.search(k))
+    assert all(abs(first[w] / n - math.exp(log - top)) < 0.04 for w, log in every.items())
+
+
 def test_samples_decode_and_ignore_batches(spark, odd, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     units = lattice.units_of(path)
@@ -418,8 +492,15 @@ def test_samples_decode_and_ignore_batches(spark, odd, none):
         assert [(a[0], a[1], a[2]) for a in alone] == [(b[0], b[1], b[2]) for b in together[i]]
         for x, b in zip(alone, [lattice.Batch(units, [text], np.array([i]), 1)] * 3, strict=False):
             assert lattice.decode_ids(words, b.pieces(x[3], words)) == text
-    got = lattice.sample(odd.where("length(text) < 100 or text is null"), path, k=2).toPandas()
-    assert got[got.decoded == ""].ids.map(len).eq(0).all() and len(got) >= 6
+    clash = odd.withColumn("id", F.lit("mine")).withColumn("sample", F.lit(9)).withColumn("ids", F.lit("x"))
+    got = lattice.sample(clash, path, k=2).toPandas()
+    assert got[got.decoded == ""].ids.map(len).eq(0).all() and len(got) >= 10
+    assert sorted(got[got.id == 2].decoded) == [LONG, LONG] and got[got.id == 3].groupby("sample").decoded.count().tolist() == [2, 2]
+    assert got[got.id == 3].groupby("sample").log_prob.nunique().tolist() == [1, 1]
+    some = lattice.sample(odd, path, k=2, then=(lattice.digests, lattice._DIGESTS)).toPandas()
+    key = ["id", "sample", "log_prob"]
+    want = got.assign(text_sha256=got.decoded.map(lambda t: hashlib.sha256(t.encode()).hexdigest()), ids_sha256=got.ids.map(lambda x: hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest()))
+    assert sorted(map(str, want[["id", "sample", "log_prob", "ids_sha256", "text_sha256"]].values.tolist())) == sorted(map(str, some[["doc_id", "sample", "log_prob", "ids_sha256", "text_sha256"]].values.tolist()))
     assert lattice.sample(none, path).count() == 0
     coded = lattice.decode(lattice.encode(odd.where("doc_id = 3"), path), path).first()
     assert coded["decoded"] == "same text here now"
@@ -459,4 +540,4 @@ def test_pipeline_stages(spark, data):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     rows = C.run(spark, data).toPandas()
     assert set(rows["sample"]) <= {1, 2} and set(rows.doc_id) <= {r["doc_id"] for r in kept.collect()}
-    assert hashlib.sha256(b"").hexdigest() and len(C.STAGES) == 5
+    assert len(C.STAGES) == 5
