@@ -54,8 +54,8 @@ THETA = 1.0
 _FIX = float(1 << 30)
 BATCH_CHARS = 1 << 18
 #: Lattices of this many units with this many arcs are kept between batches.
-UNITS = 1 << 18
-ARCS = 5 << 20
+UNITS = 3 << 16
+ARCS = 1 << 22
 
 
 @lru_cache(maxsize=2)
