@@ -12,8 +12,9 @@ two-dimensional cosine transform and sets a bit for each one above the median.
 Each image is worked on alone with the same operations, so equal texts give
 equal values, whatever batch they are in. Defined results: a null or empty text
 is one row of spaces; a damaged file raises ``ValueError`` naming the fault;
-repeated rows stay repeated, nulls in other columns are kept, an empty table
-gives an empty table; input columns named like a result are replaced.
+texts of any length are one image (a task holds one image); repeated rows stay
+repeated, nulls in other columns are kept, an empty table gives an empty table;
+input columns named like a result are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.llm.words import unused
 from assayer.session import table
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -161,14 +163,15 @@ def cosine_hash(rows: np.ndarray) -> bytes:
 def media_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with media (the PNG of the padded text) and media_hash, both binary, and n_bytes, in place of the text."""
     rest = [c for c in df.columns if c not in ("media", "media_hash", "n_bytes", text_col)]
-    source = df.select(*rest, F.coalesce(df[text_col].cast("binary"), F.lit(b"")).alias("__raw"))
+    raw_col = unused(rest, "raw")
+    source = df.select(*[df[f"`{c}`"] for c in rest], F.coalesce(df[text_col].cast("binary"), F.lit(b"")).alias(raw_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, max(1, batch.num_rows), 256):
                 part = batch.slice(at, 256)
                 files, hashes, sizes = [], [], []
-                for raw in part.column("__raw"):
+                for raw in part.column(raw_col):
                     data = raw.as_py()
                     payload = padded(data)
                     files.append(encode_png(payload))

@@ -12,10 +12,11 @@ in tables. Sums are whole numbers (fixed point), so neither the order of a
 shuffle nor a lost executor changes a bit of the result.
 
 Rates become whole copies by systematic rounding along falling size, then
-small documents take up what is left of the target, so a source misses it by
-less than about one small document. Documents of one cell differ only in their
-id: a hash orders them, dealt to ``SALTS`` parts of the cell, so a third of all
-rows in one source or of one size is no single task's work.
+small documents take up what is left of the target as far as whole copies can:
+what remains is less than the smallest document that still has room. Documents
+of one cell are ordered by a hash of the id, dealt by a hash of the whole row to
+``SALTS`` parts of the cell, so a third of all rows in one source, of one size or
+with one id is no single task's work.
 
 Targets: source k in code-point order (null last) has weight WEIGHTS[k mod 3];
 the sources share ``share`` times all words; a target stops at MAX_COPIES times
@@ -26,8 +27,9 @@ one row for each source.
 Defined results: a null text has size 0, is taken once at rate 1 and adds no
 words; a null source is a source of its own; null or repeated ids are separate
 rows, and equal rows may differ in copies; a corpus without words has targets
-0; an empty table gives an empty table; input columns named like a result are
-replaced.
+0; rows that are equal in every column are interchangeable; texts count by their
+words, however long; an empty table gives an empty table; input columns named
+like a result are replaced, all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayer.llm.words import word_count
+from assayer.llm.words import row_hash, word_count
 from assayer.session import discard, materialize, table
 
 WEIGHTS = (3, 1, 2)
@@ -45,8 +47,9 @@ MAX_COPIES = 2
 SALTS = 256
 #: Fixed point of sums and rates.
 _ONE = 1 << 20
-_MAX_STEPS = 60
 _TOLERANCE = 1e-7
+#: Newton inside a halving bracket needs about a dozen steps; beyond this many something is wrong, and ``solve`` raises.
+_MAX_STEPS = 200
 
 
 def _source_key(col: Column) -> Column:
@@ -102,24 +105,25 @@ def solve(cells: DataFrame, sources: DataFrame) -> DataFrame:
         sums = (
             positive.join(state, "sk")
             .groupBy(*names)
-            .agg(_fixed_sum(words * rate).alias("got"), _fixed_sum(F.when(rate < MAX_COPIES, words * x * rate).otherwise(0.0)).alias("slope"))
+            .agg(_fixed_sum(words * rate).alias("got"), _fixed_sum(F.when(rate < MAX_COPIES, words * x * rate).otherwise(0.0)).alias("slope"), F.count(F.lit(1)).alias("terms"))
         )
         off = F.col("got") - F.col("target")
         narrowed = sums.select(
-            "sk", "source_size", "target", "mean", "lam", off.alias("off"), "slope",
+            "sk", "source_size", "target", "mean", "lam", off.alias("off"), "slope", "terms",
             F.when(off < 0, F.col("lam")).otherwise(F.col("lo")).alias("lo"), F.when(off > 0, F.col("lam")).otherwise(F.col("hi")).alias("hi"),
         )
         newton = F.col("lam") - F.col("off") / F.nullif(F.col("slope"), F.lit(0.0))
         inside = F.coalesce((newton >= F.col("lo")) & (newton <= F.col("hi")), F.lit(False))
-        done = F.abs("off") <= _TOLERANCE * F.col("target")
+        slack = _TOLERANCE * F.col("target") + F.col("terms") / _ONE  # each term of a sum is rounded
+        done = F.abs("off") <= slack
         step = F.when(done, F.col("lam")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)
-        after = materialize(narrowed.select("sk", "source_size", "target", "mean", step.alias("lam"), "lo", "hi", (F.abs("off") / F.col("target")).alias("error")), "tilt")
+        after = materialize(narrowed.select("sk", "source_size", "target", "mean", step.alias("lam"), "lo", "hi", (F.abs("off") / slack).alias("error")), "tilt")
         discard(state)
         state = after
         worst = state.agg(F.max("error")).first()[0]
-        if worst is None or worst <= _TOLERANCE:
-            break
-    return state.select("sk", "source_size", "target", "mean", "lam")
+        if worst is None or worst <= 1:
+            return state.select("sk", "source_size", "target", "mean", "lam")
+    raise RuntimeError(f"entropy balancing is still off by {worst} tolerances after {_MAX_STEPS} steps")
 
 
 def _round_copies(cells: DataFrame, tilts: DataFrame) -> DataFrame:
@@ -153,11 +157,10 @@ def mix(
     Rows are shuffled once, by cell; what decides their copies is a table of cells.
     """
     names = [c for c in docs.columns if c not in RESULT_COLUMNS or c in (id_col, source_col)]
-    keyed = docs.select(
-        *names, size.cast("long").alias("size"), _source_key(docs[source_col]).alias("sk"),
-        F.pmod(F.xxhash64(docs[id_col]), F.lit(SALTS)).cast("int").alias("__salt"),
-    )
-    parts = materialize(keyed.groupBy("sk", "size", "__salt").agg(F.count(F.lit(1)).alias("n")), "parts")
+    keyed = docs.select(  # the caller's columns in one struct, so that no name of theirs meets one of the plan's
+        F.struct(*[docs[f"`{c}`"] for c in names]).alias("doc"), docs[id_col].alias("id"), size.cast("long").alias("size"), _source_key(docs[source_col]).alias("sk"), row_hash(docs).alias("row"),
+    ).withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
+    parts = materialize(keyed.groupBy("sk", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "parts")
     cells = materialize(parts.groupBy("sk", "size").agg(F.sum("n").alias("n")), "cells")
     sources = cells.groupBy("sk").agg(
         F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least_size")
@@ -169,28 +172,28 @@ def mix(
         "targets",
     )
     rounded = _round_copies(cells, solve(cells, targets))
-    plan = parts.select("sk", "size", "__salt", F.col("n").alias("part")).join(rounded, ["sk", "size"]).join(targets.select("sk", "source_size", "target"), "sk")
+    plan = parts.select("sk", "size", "salt", F.col("n").alias("part")).join(rounded, ["sk", "size"]).join(targets.select("sk", "source_size", "target"), "sk")
     extra = F.col("copies") % F.col("n")
-    along = Window.partitionBy("sk", "size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    along = Window.partitionBy("sk", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     through = F.sum("part").over(along)
     share_of = lambda count: F.floor(count * extra / F.col("n"))
     plan = materialize(
         plan.select(
-            "sk", "size", "__salt", "source_size", "target", F.expr("copies div n").alias("base"),
+            "sk", "size", "salt", "source_size", "target", F.expr("copies div n").alias("base"),
             (share_of(through) - share_of(through - F.col("part"))).cast("long").alias("extra"),
         ),
         "copies",
     )
-    rank = F.row_number().over(Window.partitionBy("sk", "size", "__salt").orderBy(F.xxhash64(F.lit(1), id_col), id_col))
-    copies = (F.col("base") + (F.col("__rank") <= F.col("extra")).cast("int")).cast("long")
+    rank = F.row_number().over(Window.partitionBy("sk", "size", "salt").orderBy(F.xxhash64(F.lit(1), "id"), "id", "row"))
+    copies = (F.col("base") + (F.col("rank") <= F.col("extra")).cast("int")).cast("long")
     return (
-        keyed.withColumn("__rank", rank)
-        .join(plan, ["sk", "size", "__salt"])
-        .select(*names, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        keyed.withColumn("rank", rank)
+        .join(plan, ["sk", "size", "salt"])
+        .select("doc.*", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
     )
 
 
-RESULT_COLUMNS = ("size", "source_size", "target", "copies", "taken", "sk")
+RESULT_COLUMNS = ("size", "source_size", "target", "copies", "taken")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

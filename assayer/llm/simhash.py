@@ -19,8 +19,9 @@ a bucket is small by construction.
 
 Defined results: a null or blank text has fingerprint zero and is linked like
 any other; a null id takes part, and a component's id is the smallest id that
-is not null (null if there is none); repeated rows give repeated rows; an
-empty table gives an empty table; other columns are ignored.
+is not null (null if there is none); repeated rows give repeated rows; texts of
+any length are read whole (a task holds one text); an empty table gives an empty
+table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import near_copies
 from assayer.llm.components import star_components
-from assayer.llm.words import unused
+from assayer.llm.words import row_hash, unused
 from assayer.session import materialize
 
 BITS = 64
@@ -244,17 +245,21 @@ def near_duplicates(
     named = groups.join(linked, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")
     )
-    return docs.join(named, "fp").select("id", "fp", "text_hash", "root", "component_id")
+    # both sides of the last join come from tables, so a fingerprint with many rows is split, not dealt to one task
+    return docs.join(materialize(named, "components"), "fp").select("id", "fp", "text_hash", "root", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, one for each group of near copies (``near_copies``): its smallest id (then text hash), once."""
+    """The rows of ``df``, one for each group of near copies (``near_copies``): its smallest id (null last, then by hash), once.
+
+    Rows equal in every column are one; of rows with one id the hash of all columns decides, so reruns agree.
+    """
     # plain equality of three columns, so the join's shuffle and order serve the removal of repeats too
     key = none, id_, hash_ = [unused(df.columns, name) for name in ("__none", "__id", "__hash")]
-    keys = [df[id_col].isNull().alias(none), F.coalesce(df[id_col].cast("string"), F.lit("")).alias(id_), F.xxhash64(df[text_col]).alias(hash_)]
+    keys = [df[id_col].isNull().alias(none), F.coalesce(df[id_col].cast("string"), F.lit("")).alias(id_), row_hash(df).alias(hash_)]
     texts = df.select(*keys, df[id_col].alias("id"), F.coalesce(df[text_col].cast("binary"), F.lit(b"")).alias("raw"))
     kept = near_copies.keep_one(texts, key, "raw", [none, "id", hash_])
-    return df.select("*", *keys).join(kept, key, "left_semi").dropDuplicates(key).select(*df.columns)
+    return df.select("*", *keys).join(kept, key, "left_semi").dropDuplicates(key).select(*[f"`{c}`" for c in df.columns])
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space besides the space itself: code points 9 to 13.
@@ -53,3 +53,9 @@ def unused(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of ``df``: it tells rows apart and doesn't depend on where they are."""
+    parts = [F.to_json(F.struct(df[f"`{c}`"])) if "map<" in kind or kind == "variant" else df[f"`{c}`"] for c, kind in df.dtypes]
+    return F.xxhash64(*parts)

@@ -596,9 +596,134 @@ def test_long_runs_are_whole_lattices(text):
     assert crossed
 
 
+# --- Odd inputs of every operator
+
+
+CLASHING = ("id", "doc", "row", "raw", "base", "extra", "salt", "rank", "sk", "n", "fp", "hash", "__row", "__raw", "__v", "__verdict", "__salt", "__rank", "__id", "place", "path", "key", "value", "e", "p", "w", "t", "k", "page", "stack", "sweep", "whole", "words", "part", "cell", "lam", "grams", "bucket", "good", "root", "node", "rule_id")
+
+
+@pytest.fixture(scope="module")
+def clashing(odd):
+    """The odd rows with a column of every name that a plan uses inside."""
+    return odd.drop("row", "fp", "size").select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+
+
+def own_columns_stay(got, rows, results=()):
+    assert all(r[c] == f"own {c}" for r in got.collect() for c in CLASHING if c in got.columns and c not in results), got.columns
+    assert got.count() == rows
+
+
+def test_operators_keep_columns_of_clashing_names(spark, clashing):
+    labels = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
+    own_columns_stay(quality.judge(clashing, quality.fit(clashing, labels)), 7)
+    own_columns_stay(mixing.mix(clashing, word_count(F.col("text"))), 7)
+    own_columns_stay(media.media_columns(clashing), 7)
+    own_columns_stay(simhash.keep_one(clashing), 3)
+    own_columns_stay(url_rules.judge(clashing.withColumn("url", F.lit("a://com/en/")).drop("path"), spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")), 7, url_rules.RESULT_COLUMNS)
+    assert simhash.near_duplicates(clashing).count() == 7 and licenses.scan(clashing).count() == 0
+    assert token_counts.count_tokens(clashing, public_tokenizers.path("byte_bpe_50k.json")).count() == 7
+
+
+def test_url_rules_of_long_and_repeated_rows(spark):
+    rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
+    long_url = "x://a.example.com/en/7" + "y" * 1_000_000
+    pages = spark.createDataFrame([(1, long_url), (1, long_url), (2, "x://" + "a." * 20000 + "com/en/")], "page_id long, url string")
+    for sweeps in (1, 7):
+        assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in url_rules.judge(pages, rules, sweeps=sweeps).collect()) == [(1, "example.com/en/7", "allow"), (1, "example.com/en/7", "allow"), (2, "com/en/", "block")]
+
+
+def test_mixing_is_the_same_however_rows_are_dealt(spark):
+    """Repeated and null ids with other contents, ties in size, one hot source: rows differ in nothing but their partition."""
+    rows = [(i % 7 if i % 3 else None, "w " * (i % 5 + 1) + str(i % 40), "hot" if i % 3 else "b") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = [sorted(map(str, mixing.mix(docs.repartition(n), word_count(F.col("text"))).collect())) for n in (1, 5)]
+    assert found[0] == found[1]
+    got = mixing.mix(docs, word_count(F.col("text"))).toPandas()
+    sums = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((sums.taken - sums.target).abs() <= 1).all()
+
+
+def test_balance_is_the_exponential_tilt(spark):
+    """The solved rates are min(2, exp(lambda x)) with each source's expected words at its target, by bisection in plain Python."""
+    rnd = random.Random(2)
+    rows = [(i, "w " * rnd.randrange(0, 40), f"s{i % 4}") for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), word_count(F.col("text"))).toPandas()
+    for _, part in got.groupby("source"):
+        target, mean = part.target.iloc[0], part["size"].sum() / len(part)
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            lam = (low + high) / 2
+            rate = np.minimum(2, np.exp(np.minimum(lam * part["size"] / mean, 50)))
+            low, high = (lam, high) if (rate * part["size"]).sum() < target else (low, lam)
+        # whole copies follow the rates: over documents in order of size the running sums stay near each other
+        order = part.assign(rate=rate).sort_values("size", ascending=False)
+        order = order[order["size"] > 0].groupby("size").agg(copies=("copies", "sum"), rate=("rate", "sum")).sort_index(ascending=False)
+        assert ((order.copies.cumsum() - order.rate.cumsum()).abs() <= 3).all()
+
+
 # --- Pipeline
 
 
+@pytest.fixture(scope="module")
+def stage_docs(spark, data):
+    """documents of the test data with odd rows and extra columns of names that stages use inside."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = [(None, None, None, None, None), (-1, "", "en", "s", 0), (-2, LONG, "en", "s", len(LONG)), (-3, "a b c", None, None, 5), (-3, "a b c", None, None, 5), (None, "null id " + "and words of its own " * 30, "en", "s", 1)]
+    odd_rows = spark.createDataFrame(rows, docs.schema)
+    extra = [c for c in (*CLASHING, "score", "kept", "size", "copies", "judged_text", "n_words") if c not in docs.columns]
+    return docs.unionByName(odd_rows).select("*", *[F.lit(f"own {c}").alias(c) for c in extra])
+
+
+def test_every_stage_with_odd_inputs(spark, data, stage_docs):
+    import corpus_pipeline as C
+
+    held = {}
+    for name, stage in C.STAGES:
+        got = stage(spark, stage_docs, data)
+        assert stage(spark, stage_docs.where("false"), data).count() == 0
+        if name != C.STAGES[-1][0]:
+            assert got.columns == stage_docs.columns
+            assert all(r[c] == f"own {c}" for r in got.collect() for c in got.columns if c in CLASHING or c in ("score", "kept", "size"))
+        held[name] = got.toPandas()
+    docs = stage_docs.toPandas()
+    good = set(pd.read_parquet(f"{data}/labels.parquet").query("quality == 1").doc_id)
+    # quality: base rules and ratio by brute force
+    limit = math.floor(quality.THRESHOLD * (1 << 20))
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in docs.text]
+    def passes(w, total, grams):
+        c = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {j + k for j in range(len(w) - 2) if c[tuple(w[j : j + 3])] > 1 for k in range(3)}
+        return len(w) >= 50 and 100 * len(covered) <= 50 * len(w) and total >= limit * grams
+    want = [t for t, w, (total, grams) in zip(docs.text, words, quality_score(docs.text, docs.doc_id.isin(good)), strict=True) if passes(w, total, grams)]
+    assert sorted(held["quality rules"].text) == sorted(want)
+    # near copies: components over all pairs of shingle sets
+    sets = [near_copies.shingles((t or "").encode()) for t in docs.text]
+    first: dict = {}
+    for i in range(len(docs)):
+        for j in range(i):
+            union = len(np.union1d(sets[i], sets[j]))
+            if (union == 0 or len(np.intersect1d(sets[i], sets[j])) >= 0.8 * union) and root(first, i) != root(first, j):
+                first[max(root(first, i), root(first, j))] = min(root(first, i), root(first, j))
+    groups = collections.defaultdict(list)
+    for i in range(len(docs)):
+        groups[root(first, i)].append(docs.doc_id[i])
+    want_ids = sorted(min((x for x in g if x == x and x is not None), default=None) or 0 for g in groups.values())
+    assert sorted(0 if x != x else x for x in held["SimHash near-dedup"].doc_id) == want_ids
+    # mixing: as often as the operator says; sampling: the texts come back
+    taken = mixing.mix(stage_docs.select("doc_id", "text", "source"), word_count(F.col("text"))).toPandas()
+    assert sorted(map(str, np.repeat(taken.doc_id.values, taken.copies.values))) == sorted(map(str, held["mixing sources to target weights"].doc_id))
+    sampled = held["SentencePiece encoding and decoding"]
+    model = lattice.model(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {str(i): t or "" for i, t in zip(docs.doc_id, docs.text, strict=True) if i == i and i != -2}
+    assert all(model.decode([int(x) for x in r.ids]) == texts[str(r.doc_id)] for r in sampled.itertuples() if str(r.doc_id) in texts and "  " not in texts[str(r.doc_id)] and texts[str(r.doc_id)].strip() == texts[str(r.doc_id)])
+
+
+def root(first, i):
+    while i in first:
+        i = first[i]
+    return i
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline as C
 
