@@ -143,6 +143,35 @@ def test_token_counts_equal_the_library():
     assert token_counts.transducer(path).count_texts(texts) == want
 
 
+@pytest.mark.parametrize(("chunk", "states"), [(7, 1 << 17), (256, 60), (3, 40)])
+def test_token_counts_ignore_chunks_and_table_size(monkeypatch, chunk, states):
+    """Long pieces over many chunks, and a table that fills up in their midst."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rnd = random.Random(chunk)
+    texts = ["".join(rnd.choice("abcdeinrst") for _ in range(3000)), "é日" * 700, "=" * 900, "word " * 50 + "x" * 2000, *("".join(rnd.choice("the quick9 '!\n") for _ in range(rnd.randrange(90))) for _ in range(200))]
+    monkeypatch.setattr(token_counts, "MAX_STATES", states)
+    counter = token_counts.CountTransducer(path)
+    changes = counter.changes
+    monkeypatch.setattr(counter, "changes", lambda symbols, begins: changes(symbols, begins, chunk))
+    assert counter.count_texts(texts) == [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert len(counter.states) <= max(states, 2 * sum(map(len, texts)) // chunk + 300)
+
+
+def test_token_pairs_are_judged_as_plain_bpe_does():
+    counter = token_counts.transducer(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = sorted(counter.made)
+    rnd = random.Random(8)
+    for _ in range(20000):
+        a, b = rnd.choice(tokens), rnd.choice(tokens)
+        assert counter.fits(a, b) == (counter.canonical(a + b)[0] == [a, b]), (a, b)
+    for whole in rnd.sample([t for t in tokens if len(t) > 1], 3000):  # halves of tokens are the harder cases
+        for k in range(1, len(whole)):
+            a, b = counter.canonical(whole[:k])[0][-1], counter.canonical(whole[k:])[0][0]
+            assert counter.fits(a, b) == (counter.canonical(a + b)[0] == [a, b]), (a, b)
+
+
 def test_token_counts_odd_inputs(odd, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = token_counts.count_tokens(odd, path).toPandas()
