@@ -444,14 +444,57 @@ def test_words_on_both_sides_of_a_candidate(spark, forest):
 # --- Licences
 
 
+MIT_FILE = """The MIT License (MIT)
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
 def test_license_passages(spark, odd, none):
-    mit = dict(licenses.TEMPLATES)["MIT"]
+    known = dict(licenses.TEMPLATES)
+    mit = known["MIT"]
     wrapped = "\n".join(mit[i : i + 80] for i in range(0, len(mit), 80))
     filler = " ".join(f"word{k}" for k in range(200))
-    rows = [(1, f"{filler}\n\n{wrapped}\n\nend"), (2, "Released under the MIT License."), (3, "the license of the other thing is not known to us"), (4, None), (2, "Released under the MIT License.")]
-    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
-    assert sorted(zip(got.id, got.scope, got.license, strict=True)) == [(1, "paragraph", "MIT"), (2, "line", "MIT-notice"), (2, "line", "MIT-notice")]
+    code = "\n\n".join(f"def f{k}(x):\n    return x + {k}" for k in range(60))
+    apache = known["Apache-2.0-header"].replace("You may obtain", "\n\nYou may obtain").replace("Unless", "\n\nUnless")
+    rows = [
+        (1, f"{filler}\n\n{wrapped}\n\nend"), (2, "Released under the MIT License."), (3, "the license of the other thing is not known to us"), (4, None), (2, "Released under the MIT License."),
+        (5, f"{MIT_FILE}\n{code}"), (6, f"{code}\n\n{apache}\n\n{filler}\n\n{MIT_FILE}\n\n{code}\n\n{MIT_FILE}"), (7, f"{filler}. Released under the MIT License. {filler}"), (8, LONG + "\n\n" + MIT_FILE),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan(frame).toPandas()
+    whole = got[got.scope != "line"]
+    assert sorted(zip(whole.id, whole.scope, whole.license, strict=True)) == [
+        (1, "paragraph", "MIT"), (5, "paragraphs", "MIT"), (6, "paragraphs", "Apache-2.0-header"), (6, "paragraphs", "MIT"), (6, "paragraphs", "MIT"), (6, "sentence", "Apache-2.0-notice"), (7, "sentence", "MIT-notice"), (8, "paragraphs", "MIT"),
+    ]
+    assert got[got.scope == "line"].id.tolist() == [2, 2]
+    assert (whole[whole.id == 5].part == 3).all()  # without title and copyright line the coefficient is best
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
+    import duckdb
+
+    con = duckdb.connect()
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    con.register("documents", documents)
+    want = con.execute(licenses.ORACLES["op3_licenses"]).df().rename(columns={"doc_id": "id"})
+    assert sorted(map(str, got[want.columns].astype(object).values.tolist())) == sorted(map(str, want.astype(object).values.tolist()))
 
 
 # --- Chat
