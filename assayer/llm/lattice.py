@@ -54,7 +54,7 @@ THETA = 1.0
 _FIX = float(1 << 30)
 BATCH_CHARS = 1 << 18
 #: Lattices of this many units with this many arcs are kept between batches.
-UNITS = 3 << 16
+UNITS = 1 << 17
 ARCS = 1 << 22
 
 
