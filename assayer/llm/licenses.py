@@ -42,7 +42,7 @@ from pyspark.sql.window import Window
 
 from assayer.llm.license_texts import TEMPLATES
 from assayer.llm.words import let
-from assayer.session import table
+from assayer.session import materialize, table
 
 THRESHOLD = 0.8
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -132,12 +132,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     """id, scope, passage_no, part, license, template, shared, size, dice of the passages that match."""
     known = templates(docs.sparkSession, texts)
     telling = lambda text: may_match(text, texts, threshold)
-    docs = docs.where(telling(docs[text_col]))
+    # texts that may match are few; they are looked for once and read twice
+    docs = materialize(docs.where(telling(docs[text_col])).select(docs[id_col].alias("id"), docs[text_col].alias("text")), "licensed")
     sizes = [len(_grams(text)) for _, text in texts]
     ratio = (2 - threshold) / threshold
     low, high = min(sizes) / ratio, max(sizes) * ratio
     key = ["row", "id", "scope", "passage_no", "part"]
-    every = passages(docs, id_col, text_col).unionByName(windows(docs, math.floor(high) + 1, telling, id_col, text_col))
+    every = passages(docs, "id", "text").unionByName(windows(docs, math.floor(high) + 1, telling, "id", "text"))
     found = every.where(F.size("words") > low).select(*key, bigrams(F.col("words")).alias("grams"))
     found = found.select("*", F.size("grams").alias("size")).where(F.col("size").between(low, high))
     grams = known.select("template", "license", F.col("size").alias("template_size"), F.explode("grams").alias("gram"))
