@@ -202,16 +202,6 @@ def review_queue(spark, d):
     return first.select("event_id", F.row_number().over(Window.orderBy("p", "ts", "event_id")).alias("position"))
 
 
-@_query("backtest_students", """WITH p AS (SELECT o_custkey AS student, sum(CAST(floor(o_totalprice) AS BIGINT)) AS total FROM orders GROUP BY 1), t AS (SELECT c_custkey AS student, CAST(floor(c_acctbal) AS BIGINT) AS truth FROM customer)
-SELECT t.student, truth, coalesce(total, 0)::BIGINT AS predicted, (coalesce(total, 0) - truth)::BIGINT AS delta, CASE WHEN total IS NULL THEN 'missing' WHEN abs(total - truth) <= 1 THEN 'exact' ELSE 'diff' END AS status FROM t LEFT JOIN p ON t.student = p.student""")
-def backtest_students(spark, d):
-    p = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("student")).agg(F.sum(F.floor("o_totalprice").cast("long")).alias("total"))
-    t = table(spark, d, "customer").select(F.col("c_custkey").alias("student"), F.floor("c_acctbal").cast("long").alias("truth"))
-    got = F.coalesce("total", F.lit(0))
-    status = F.when(F.col("total").isNull(), "missing").when(F.abs(F.col("total") - F.col("truth")) <= 1, "exact").otherwise("diff")
-    return t.join(p, "student", "left").select("student", "truth", got.alias("predicted"), (got - F.col("truth")).alias("delta"), status.alias("status"))
-
-
 @_query("gateway_issues", """SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN length(text) > 1500 THEN 'too_long' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'bad_role' END, CASE WHEN turn > 6 THEN 'late_turn' END, CASE WHEN trim(text, ' ') = '' THEN 'blank' END], lambda x: x IS NOT NULL)) AS code FROM conversations) GROUP BY code""")
 def gateway_issues(spark, d):
     c = table(spark, d, "conversations")

@@ -58,16 +58,6 @@ def merge_fill(spark, d):
     return V.fill_merges(cells, merges)
 
 
-@_query("backtest_items", """SELECT coalesce(a.k, b.k) AS k, coalesce(a.line, b.line) AS line, got, want, CASE WHEN want IS NULL THEN 'missing_reference' WHEN got IS NULL THEN 'missing_claim' WHEN got = want THEN 'matched' ELSE 'diff' END AS status
-FROM (SELECT l_orderkey AS k, l_linenumber AS line, sum(CAST(l_quantity AS BIGINT))::BIGINT AS got FROM lineitem WHERE l_orderkey % 9 <> 0 GROUP BY 1, 2) a
-FULL JOIN (SELECT l_orderkey AS k, l_linenumber AS line, sum(CAST(l_quantity AS BIGINT) + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS want FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY 1, 2) b ON a.k = b.k AND a.line = b.line""")
-def backtest_items(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("q"), "l_partkey")
-    got = rows.where("k % 9 <> 0").groupBy("k", "line").agg(F.sum("q").alias("got"))
-    want = rows.where("k % 11 <> 0").groupBy("k", "line").agg(F.sum(F.col("q") + (F.col("l_partkey") % 5 == 0).cast("int")).alias("want"))
-    return V.compare_items(got, want, ["k", "line"])
-
-
 @_query("rerank_fuse", """WITH b AS (SELECT e.label AS query, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY round(embedding[1]::DOUBLE, 6) DESC, vec_id) AS base FROM embeddings e),
 c AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, base, id) AS ce FROM (SELECT b.*, round(e.embedding[2]::DOUBLE, 6) AS s FROM b JOIN embeddings e ON e.vec_id = b.id WHERE base <= 20))
 SELECT query, id, rank::INTEGER AS rank FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(4.0::DOUBLE / (60 + base) + 1.0::DOUBLE / (60 + ce), 12) DESC, id) AS rank FROM c) WHERE rank <= 10""")
@@ -99,14 +89,6 @@ def unit_cost(spark, d):
     return table(spark, d, "events").select("event_id", F.when(v >= 5, F.round((F.floor(v) * 2 + F.floor(v / 2) * 8) / F.lit(1e6), 8)).alias("cost"))
 
 
-@_query("query_rewrite", """SELECT item_id, md5(concat_ws(' ', text, CASE WHEN contains(lower(text), 'license') AND NOT contains(lower(text), 'licence') THEN 'licence' END, CASE WHEN contains(lower(text), 'the') AND NOT contains(lower(text), 'article') THEN 'article' END)) AS rewritten FROM benchmark""")
-def query_rewrite(spark, d):
-    """A canonical term is added where a variant stands and the term doesn't."""
-    low = F.lower("text")
-    added = [F.when(low.contains(v) & ~low.contains(c), F.lit(c)) for v, c in (("license", "licence"), ("the", "article"))]
-    return table(spark, d, "benchmark").select("item_id", F.md5(F.concat_ws(" ", "text", *added)).alias("rewritten"))
-
-
 @_query("events_windowed", """SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY 1, 2""")
 def events_windowed(spark, d):
     """Counts by tumbling day; ``assayer.streaming`` runs the same aggregation on a stream."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.plans import analysis, evidence, scoring
+from assayer.plans import analysis, evidence, ledger, levels, scoring
 
-_MODULES = (scoring, analysis, evidence)
+_MODULES = (scoring, analysis, evidence, levels, ledger)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
