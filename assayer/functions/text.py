@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ NOISE = rf"[{SPACE}·•、,，。;；()（）\[\]【】\-—_/]+"
 LINE_END = r"\r\n|[\x{0A}-\x{0D}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value`` evaluated once, however often it is used there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def nfkc(x: Column) -> Column:
     """Compatibility composition; Spark has no built-in for it, so text goes through Arrow."""
     return F.pandas_udf(lambda s: s.str.normalize("NFKC"), "string")(x)
@@ -31,11 +37,18 @@ def norm_key(x: Column) -> Column:
 
 def search_tokens(x: Column) -> Column:
     """Latin words, numbers, single CJK characters and CJK pairs; white space is dropped first, so it fuses words."""
-    flat = F.lower(F.regexp_replace(x, f"[{SPACE}]+", ""))
-    words = F.regexp_extract_all(flat, F.lit("[a-z]+|\\p{Nd}+(?:\\.\\p{Nd}+)?"), F.lit(0))
-    han = F.regexp_extract_all(flat, F.lit("[\\x{4e00}-\\x{9fff}]"), F.lit(0))
-    pairs = F.zip_with(F.slice(han, 1, F.greatest(F.size(han) - 1, F.lit(0))), F.slice(han, 2, F.greatest(F.size(han) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    return F.concat(words, han, pairs)
+    every = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.array().cast("array<string>")
+
+    def joined(han: Column) -> Column:
+        pairs = F.zip_with(F.slice(han, 1, F.size(han) - 1), F.slice(han, 2, F.size(han) - 1), lambda a, b: F.concat(a, b))
+        return F.concat(han, F.when(F.size(han) > 1, pairs).otherwise(none))
+
+    def tokens(flat: Column) -> Column:
+        han = F.when(flat.rlike("[\\x{4e00}-\\x{9fff}]"), bound(every(flat, "[\\x{4e00}-\\x{9fff}]"), joined)).otherwise(none)
+        return F.concat(every(flat, "[a-z]+|\\p{Nd}+(?:\\.\\p{Nd}+)?"), han)
+
+    return bound(F.lower(F.regexp_replace(x, f"[{SPACE}]+", "")), tokens)
 
 
 def academic_year_of(day: Column, rollover: int = 9) -> Column:

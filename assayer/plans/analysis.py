@@ -7,7 +7,6 @@ from pyspark.sql.window import Window
 
 from assayer.functions import text as T
 from assayer.operators import metrics as M
-from assayer.operators import retrieval as R
 from assayer.operators import snapshots as S
 from assayer.session import table
 
@@ -55,66 +54,6 @@ def tokenize(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.search_tokens(F.col("text"))).alias("n_tokens"))
 
 
-_WORDS = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
-_BM25 = """docs AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents),
-stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM docs),
-posts AS (SELECT id, len(t) AS dl, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM docs) GROUP BY id, t, term),
-raw AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM (SELECT term, count(*) AS df FROM posts GROUP BY term), stats),
-idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-terms AS (SELECT query, term, count(*) AS qtf FROM (SELECT item_id AS query, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark) GROUP BY 1, 2),
-hits AS (SELECT query, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM terms JOIN idf USING (term) JOIN posts USING (term), stats GROUP BY query, id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM hits)"""
-
-
-def _bm25(spark, d):
-    docs, queries = table(spark, d, "documents"), table(spark, d, "benchmark")
-    return R.bm25(docs, queries, "doc_id", "item_id", _WORDS(F.col("text")), _WORDS(F.col("text")))
-
-
-@_query("bm25_topk", f"WITH {_BM25} SELECT query, id, round(score, 4) AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10")
-def bm25_topk(spark, d):
-    return R.top_k(_bm25(spark, d), 10).select("query", "id", F.round("score", 4).alias("score"), "rank")
-
-
-@_query("rrf_fuse", f"""WITH {_BM25}, other AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT query, id, sum(tf)::DOUBLE AS score FROM terms JOIN posts USING (term) GROUP BY query, id)),
-every AS (SELECT query, id, rank FROM ranked WHERE rank <= 20 UNION ALL SELECT query, id, rank FROM other WHERE rank <= 20)
-SELECT query, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, count(*) AS channels FROM every GROUP BY query, id""")
-def rrf_fuse(spark, d):
-    docs, queries = table(spark, d, "documents"), table(spark, d, "benchmark")
-    terms = queries.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(_WORDS(F.col("text")))).alias("term"))
-    plain = terms.join(R.postings(docs, "doc_id", _WORDS(F.col("text"))), "term").groupBy("query", "id").agg(F.sum("tf").cast("double").alias("score"))
-    return R.rank_fusion({"bm25": R.top_k(_bm25(spark, d), 20), "plain": R.top_k(plain, 20)})
-
-
-_DOT = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
-_VEC = f"""WITH sims AS (SELECT q.vec_id AS query, e.vec_id AS id, q.label AS ql, e.label AS el, round({_DOT.format(a='q.embedding', b='e.embedding')} / (sqrt({_DOT.format(a='q.embedding', b='q.embedding')}) * sqrt({_DOT.format(a='e.embedding', b='e.embedding')})), 9) AS score
-  FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id), ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM sims)"""
-
-
-def _vectors(spark, d):
-    """Every vector whose id is divisible by 50 as a query against all others: a stated query set, sent in one block."""
-    every = table(spark, d, "embeddings")
-    queries = every.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
-    pairs = every.join(queries, F.col("vec_id") != F.col("query"))
-    return pairs.select("query", F.col("vec_id").alias("id"), "ql", F.col("label").alias("el"), F.round(R.cosine(F.col("q"), F.col("embedding")), 9).alias("score"))
-
-
-@_query("vector_topk", f"{_VEC} SELECT query, id, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10")
-def vector_topk(spark, d):
-    return R.top_k(_vectors(spark, d), 10).select("query", "id", F.round("score", 6).alias("score"), "rank")
-
-
-@_query("rank_metrics", f"""{_VEC}, rel AS (SELECT query, count(*) FILTER (ql = el) AS n FROM sims GROUP BY query)
-SELECT query, max(CASE WHEN ql = el AND rank <= 5 THEN 1 ELSE 0 END)::INTEGER AS hit5, round(coalesce(1.0::DOUBLE / min(rank) FILTER (ql = el AND rank <= 10), 0), 9) AS rr10,
-  round(coalesce(sum(1.0::DOUBLE / log2(rank + 1)) FILTER (ql = el AND rank <= 10), 0) / list_sum(list_transform(range(1, least(any_value(n), 10) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))), 9) AS ndcg10
-FROM ranked JOIN rel USING (query) GROUP BY query""")
-def rank_metrics(spark, d):
-    sims = _vectors(spark, d)
-    n = sims.groupBy("query").agg(F.count_if(F.col("ql") == F.col("el")).alias("n_relevant"))
-    hits = R.top_k(sims, 10).join(n, "query").withColumn("relevant", F.col("ql") == F.col("el"))
-    return R.rank_metrics(hits)
-
-
 @_query("wilson_rates", """WITH r AS (SELECT lang, sum(quality)::DOUBLE AS k, count(*)::DOUBLE AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang)
 SELECT lang, n::BIGINT AS n, round(greatest(0, (k/n + 1.959963984540054^2/(2*n) - 1.959963984540054*sqrt(k/n*(1-k/n)/n + 1.959963984540054^2/(4*n*n)))/(1+1.959963984540054^2/n)), 6) AS low,
  round(least(1, (k/n + 1.959963984540054^2/(2*n) + 1.959963984540054*sqrt(k/n*(1-k/n)/n + 1.959963984540054^2/(4*n*n)))/(1+1.959963984540054^2/n)), 6) AS high FROM r""")

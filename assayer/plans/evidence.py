@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.operators import evidence as V
-from assayer.operators.retrieval import top_k
 from assayer.session import table
 
 QUERIES: dict = {}
@@ -58,19 +57,6 @@ def merge_fill(spark, d):
     return V.fill_merges(cells, merges)
 
 
-@_query("rerank_fuse", """WITH b AS (SELECT e.label AS query, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY round(embedding[1]::DOUBLE, 6) DESC, vec_id) AS base FROM embeddings e),
-c AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, base, id) AS ce FROM (SELECT b.*, round(e.embedding[2]::DOUBLE, 6) AS s FROM b JOIN embeddings e ON e.vec_id = b.id WHERE base <= 20))
-SELECT query, id, rank::INTEGER AS rank FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(4.0::DOUBLE / (60 + base) + 1.0::DOUBLE / (60 + ce), 12) DESC, id) AS rank FROM c) WHERE rank <= 10""")
-def rerank_fuse(spark, d):
-    from pyspark.sql.window import Window
-
-    e = table(spark, d, "embeddings").select(F.col("label").alias("query"), F.col("vec_id").alias("id"), F.round(F.col("embedding")[0].cast("double"), 6).alias("score"), F.round(F.col("embedding")[1].cast("double"), 6).alias("s"))
-    base = top_k(e, 20).withColumnRenamed("rank", "base")
-    ce = base.withColumn("ce", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "base", "id")))
-    fused = ce.select("query", "id", F.round(4.0 / (60 + F.col("base")) + 1.0 / (60 + F.col("ce")), 12).alias("score"))
-    return top_k(fused, 10).select("query", "id", "rank")
-
-
 @_query("html_text_blocks", r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g'), ' ')) AS text_md5 FROM pages""")
 def html_text_blocks(spark, d):
     plain = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "[ \\t\\n\\r]+", " "))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.plans import analysis, evidence, ledger, levels, scoring
+from assayer.plans import analysis, evidence, ledger, levels, scoring, search
 
-_MODULES = (scoring, analysis, evidence, levels, ledger)
+_MODULES = (scoring, analysis, evidence, levels, ledger, search)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
