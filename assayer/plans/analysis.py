@@ -139,11 +139,3 @@ def review_queue(spark, d):
     e = table(spark, d, "events").select("event_id", "ts", F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).otherwise(2).alias("p"))
     first = e.orderBy("p", "ts", "event_id").limit(100)
     return first.select("event_id", F.row_number().over(Window.orderBy("p", "ts", "event_id")).alias("position"))
-
-
-@_query("gateway_issues", """SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN length(text) > 1500 THEN 'too_long' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'bad_role' END, CASE WHEN turn > 6 THEN 'late_turn' END, CASE WHEN trim(text, ' ') = '' THEN 'blank' END], lambda x: x IS NOT NULL)) AS code FROM conversations) GROUP BY code""")
-def gateway_issues(spark, d):
-    c = table(spark, d, "conversations")
-    checks = {"too_long": F.length("text") > 1500, "bad_role": ~F.col("role").isin("user", "assistant"), "late_turn": F.col("turn") > 6, "blank": F.trim("text") == ""}
-    issues = F.array_compact(F.array(*[F.when(bad, F.lit(code)) for code, bad in checks.items()]))
-    return c.select(F.explode(issues).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.plans import analysis, evidence, ledger, levels, scoring, search
+from assayer.plans import analysis, evidence, gateway, ledger, levels, scoring, search, versions
 
-_MODULES = (scoring, analysis, evidence, levels, ledger, search)
+_MODULES = (scoring, analysis, evidence, levels, ledger, search, gateway, versions)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
