@@ -43,6 +43,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,8 +88,7 @@ class Vocabulary:
                     node = steps.setdefault(node << 21 | ord(c), len(steps) + 1)
                 pieces[node] = i
                 self.longest = max(self.longest, len(text))
-        self.steps = np.array(sorted(steps), np.int64)
-        self.child = np.array([steps[k] for k in self.steps.tolist()], np.int64)
+        self.slots, self.step_keys, self.child = self._hashed(steps)
         self.root = np.zeros(0x110000, np.int64)
         for k, to in steps.items():
             if k < 0x110000:
@@ -108,23 +108,62 @@ class Vocabulary:
         for b in range(128):
             self.shown[self.byte[b]] = chr(b)
         self.shown_array = np.array(self.shown, object)
+        self.shown_strings = pa.array(self.shown, pa.string())
         self.high = self.byte[128]
 
-    def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The units of all texts in order, and how many each text has."""
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def _hashed(self, steps: dict[int, int]) -> tuple[int, np.ndarray, np.ndarray]:
+        """The trie's steps in an open hash table at most an eighth full, so that a lookup rarely takes a second look."""
+        bits = (8 * len(steps)).bit_length()
+        keys, child = np.full((1 << bits) + 64, -1, np.int64), np.zeros((1 << bits) + 64, np.int32)
+        waiting, to = np.array(list(steps), np.int64), np.array(list(steps.values()), np.int32)
+        place = self._slot(waiting, bits)
+        while len(waiting):  # the first of those that want a free slot takes it
+            free = keys[place] < 0
+            _, first = np.unique(place, return_index=True)
+            first = first[free[first]]
+            keys[place[first]], child[place[first]] = waiting[first], to[first]
+            rest = np.ones(len(waiting), bool)
+            rest[first] = False
+            waiting, to, place = waiting[rest], to[rest], place[rest] + 1
+        return bits, keys, child
+
+    def follow(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are steps, and the nodes that these lead to."""
+        place = self._slot(key, self.slots)
+        found = self.step_keys[place]
+        hit = found == key
+        look = np.flatnonzero(~hit & (found >= 0))
+        while len(look):
+            place[look] += 1
+            found = self.step_keys[place[look]]
+            hit[look] = found == key[look]
+            look = look[~hit[look] & (found >= 0)]
+        return hit, self.child[place[hit]].astype(np.int64)
+
+    def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct units of all texts, which of them stands at each place in order, and how many places each text has."""
         marked = ["▁" + t.replace(" ", "▁") if t else "" for t in texts]
         whole = "".join(marked)
         if not whole:
-            return [], np.zeros(len(texts), np.int64)
-        kinds = self.kind[np.frombuffer(whole.encode("utf-32-le"), np.uint32)]
+            return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        kinds = self.kind[points]
         begins = np.append(True, ~self.joined[kinds[:-1], kinds[1:]])
         sizes = np.fromiter(map(len, marked), np.int64, len(marked))
         first = np.cumsum(sizes) - sizes
         begins[first[sizes > 0]] = True
         at = np.append(np.flatnonzero(begins), len(whole))
-        bounds = at.tolist()
-        counts = np.diff(np.append(np.searchsorted(at, first), len(bounds) - 1))
-        return [whole[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], counts
+        counts = np.diff(np.append(np.searchsorted(at, first), len(at) - 1))
+        width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)  # bytes of each character
+        offsets = np.append(0, np.cumsum(width))[at].astype(np.int64)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(whole.encode())]
+        coded = pa.Array.from_buffers(pa.large_string(), len(at) - 1, buffers).dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), counts
 
     def arcs(self, units: list[str]) -> tuple[np.ndarray, ...]:
         """For all units: nodes of each, then by node its first arc and number of arcs, then by arc its end, id (or -1 - character) and log probability."""
@@ -142,9 +181,8 @@ class Vocabulary:
                 hit = self.root[key] > 0
                 at, node = at[hit], self.root[key[hit]]
             else:
-                place = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
-                hit = self.steps[place] == key
-                at, node = at[hit], self.child[place[hit]]
+                hit, node = self.follow(key)
+                at = at[hit]
             ids = self.piece[node]
             own = ids >= 0
             if length == 1:
@@ -292,8 +330,8 @@ class Batch:
     def __init__(self, units: Units, texts: list[str], keys: np.ndarray, seed: int) -> None:
         if len(units.of) > UNITS or units.used["id"] > ARCS:
             units.clear()
-        found, self.count = units.vocabulary.cut(texts)
-        self.unit = np.fromiter(map(units.of.__getitem__, found), np.int64, len(found))
+        found, places, self.count = units.vocabulary.cut(texts)
+        self.unit = np.fromiter(map(units.of.__getitem__, found), np.int64, len(found))[places]
         units.learn()
         self.units = units
         self.begin = np.cumsum(self.count) - self.count
@@ -452,6 +490,29 @@ class Batch:
         return np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else [vocabulary.byte[b] for b in chr(-1 - i).encode()])], np.int64)
 
 
+    def all_pieces(self, paths: list[np.ndarray], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """Where each path's piece ids end (from 0), and the ids of all paths in a row."""
+        ends = np.append(0, np.cumsum([len(p) for p in paths]))
+        ids = self.units.id[np.concatenate(paths)] if ends[-1] else np.zeros(0, np.int32)
+        if ids.min(initial=0) < 0:
+            each = [self.pieces(p, vocabulary) for p in paths]
+            return np.append(0, np.cumsum([len(p) for p in each])), np.concatenate(each)
+        return ends, ids
+
+
+def decode_all(vocabulary: Vocabulary, ends: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """The texts of many rows of piece ids; only rows with bytes beyond ASCII are put together one by one."""
+    shown = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), vocabulary.shown_strings.take(pa.array(ids)))
+    texts = pc.utf8_slice_codeunits(pc.binary_join(shown, ""), 1)
+    high = np.flatnonzero((ids >= vocabulary.high) & (ids < vocabulary.high + 128))
+    if not len(high):
+        return texts
+    out = texts.to_pylist()
+    for row in np.unique(np.searchsorted(ends, high, side="right") - 1).tolist():
+        out[row] = decode_ids(vocabulary, ids[ends[row] : ends[row + 1]])
+    return pa.array(out, pa.string())
+
+
 def decode_ids(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     """The text that piece ids stand for."""
     first, high = vocabulary.byte[0], vocabulary.high
@@ -496,16 +557,12 @@ def sample(
 
         def some(ids: list, texts: list[str]) -> pa.RecordBatch:
             batch = Batch(units, texts, np.array([i or 0 for i in ids], np.int64), seed)
-            rows = []
-            for i, found in zip(ids, batch.search(k), strict=True):
-                for at, (log, key, inclusion, arcs) in enumerate(found, 1):
-                    pieces = batch.pieces(arcs, words)
-                    rows.append((i, at, pieces, log, key, inclusion, decode_ids(words, pieces)))
-            kinds = (pa.int64(), pa.int32(), None, pa.float64(), pa.float64(), pa.float64(), pa.string())
-            columns = list(zip(*rows, strict=True))
-            ends = np.append(0, np.cumsum([len(p) for p in columns[2]])).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[2]).astype(np.int32)))
-            arrays = [lists if t is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            rows = [(i, at, *one) for i, found in zip(ids, batch.search(k), strict=True) for at, one in enumerate(found, 1)]
+            name, at, log, key, inclusion, arcs = zip(*rows, strict=True)
+            ends, pieces = batch.all_pieces(list(arcs), words)
+            decoded = decode_all(words, ends, pieces)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(pieces.astype(np.int32)))
+            arrays = [pa.array(name, pa.int64()), pa.array(at, pa.int32()), lists, pa.array(log, pa.float64()), pa.array(key, pa.float64()), pa.array(inclusion, pa.float64()), decoded]
             return finish(pa.RecordBatch.from_arrays(arrays, names=["id", "sample", "ids", "log_prob", "gumbel", "inclusion", "decoded"]))
 
         for batch in batches:
