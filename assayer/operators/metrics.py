@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from assayer.session import materialize
 
 Z = 1.959963984540054
 
@@ -30,12 +35,129 @@ def confusion(rows: DataFrame, by: list[str], truth: Column, guess: Column) -> D
 
 
 def cost_report(events: DataFrame, by: list[str]) -> DataFrame:
-    """Requests, external calls, failures, cache hits, subjects and tokens; ratios are null without a denominator."""
-    external = F.col("external")
-    n = F.count(F.lit(1))
+    """Requests, calls, failures, hits, tokens, money, materials, subjects and ratios (null without a denominator).
+
+    ``events``: model, purpose, subject, material, external, cache_hit, status,
+    tokens_in, tokens_out, cost, strong. Money is there only if every
+    successful call has its price.
+    """
+    n, ok = F.count(F.lit(1)), F.col("external") & (F.col("status") == "ok")
+    good = F.count_if(ok)
+    share = lambda a, b: F.round(F.try_divide(a, b), 6)
+    total = lambda c: F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0)).cast("long")
+    secondary = ok & (F.col("purpose") == "rule_extraction_secondary")
     return events.groupBy(*by).agg(
-        n.alias("requests"), F.count_if(external).alias("external_calls"), F.count_if(F.col("failed")).alias("failures"),
-        F.count_if(F.col("cache_hit")).alias("cache_hits"), F.round(F.try_divide(F.count_if(F.col("cache_hit")), n), 6).alias("hit_rate"),
-        F.count_distinct("subject").alias("subjects"), F.sum("tokens").alias("tokens"),
-        F.round(F.try_divide(F.count_if(external & F.col("tokens").isNotNull()), F.count_if(external)), 6).alias("usage_coverage"),
+        n.alias("requests"), F.count_if("external").alias("external_calls"), F.count_if(F.col("external") & (F.col("status") == "error")).alias("failures"), F.count_if("cache_hit").alias("cache_hits"), share(F.count_if("cache_hit"), n).alias("hit_rate"),
+        share(F.count_if(ok & F.col("tokens_in").isNotNull()), good).alias("usage_coverage"), total("tokens_in").alias("input_tokens"), total("tokens_out").alias("output_tokens"),
+        F.when((good > 0) & (F.count_if(ok & F.col("cost").isNull()) == 0), F.round(F.sum(F.when(ok, F.col("cost"))), 8)).alias("cost"), F.count_distinct("material").alias("materials"), F.count_distinct("subject").alias("subjects"),
+        share(F.count_if(ok & F.col("strong")), good).alias("strong_ratio"), share(F.count_if(secondary), F.count_if(ok & F.col("purpose").startswith("rule_extraction"))).alias("secondary_ratio"),
     )
+
+
+def token_usage(rows: DataFrame, body: str) -> DataFrame:
+    """``rows`` with input_tokens, output_tokens, total_tokens and source: the first of three shapes of response that reports any; never a guess."""
+    v = F.try_parse_json(body)
+
+    def whole(path: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+        number = F.try_variant_get(v, path, "double")
+        return F.when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), F.when((number >= 0) & (number == F.floor(number)), number.cast("long")))
+
+    def shape(at: str, *names: str) -> Column:
+        first, second, third = (F.coalesce(*[whole(f"$.{at}.{n}") for n in name.split("|")]) for name in names)
+        return F.when(first.isNotNull() | second.isNotNull() | third.isNotNull(), F.struct(first.alias("i"), second.alias("o"), third.alias("t"), F.lit({"usage_metadata": "usage_metadata", "usage": "mapping"}.get(at, "response_metadata")).alias("s")))
+
+    both = ("prompt_tokens|input_tokens", "completion_tokens|output_tokens", "total_tokens")
+    found = F.coalesce(shape("usage_metadata", "input_tokens", "output_tokens", "total_tokens"), shape("response_metadata.token_usage", *both), shape("usage", *both))
+    held = rows.withColumn("__usage", found)
+    u = F.col("__usage")
+    return held.select(*rows.columns, u["i"].alias("input_tokens"), u["o"].alias("output_tokens"), u["t"].alias("total_tokens"), F.coalesce(u["s"], F.lit("missing")).alias("source"))
+
+
+def field_scores(rows: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """field (and ``micro`` over all), tp, fp, fn, precision, recall, f1 of (wanted, got) pairs; null is absent."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(w).alias("w"), F.col(g).alias("g")) for f, (w, g) in fields.items()]))
+    flat = rows.select(pairs.alias("p")).select("p.*")
+    same = F.coalesce(F.col("w") == F.col("g"), F.lit(False))
+    counts = flat.rollup("field").agg(F.count_if(same).alias("tp"), F.count_if(F.col("g").isNotNull() & ~same).alias("fp"), F.count_if(F.col("w").isNotNull() & ~same).alias("fn"))
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return counts.select(F.coalesce("field", F.lit("micro")).alias("field"), "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+def exact_rows(gold: DataFrame, predicted: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """n, exact and rate of rows that agree in every field, aligned by ``key``; another number of rows, or an unknown key, is an error."""
+    guess = predicted.select(F.col(key), *[F.col(f).alias(f"__{f}") for f in fields], F.lit(True).alias("__got"))
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f).eqNullSafe(F.col(f"__{f}"))
+    both = gold.withColumn("__want", F.lit(True)).join(guess, key, "full_outer")
+    lost = F.count_if(F.col("__want").isNull() | F.col("__got").isNull())
+    checked = F.when(lost > 0, F.raise_error(F.lit("gold and predicted rows don't align"))).otherwise(F.count_if(same))
+    return both.agg(F.count(F.lit(1)).alias("n"), checked.cast("long").alias("exact")).select("n", "exact", F.round(F.col("exact") / F.col("n"), 6).alias("rate"))
+
+
+def order_statistics(rows: DataFrame, by: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """The values at given places (from 1, as a function of the group's size) of each group's order.
+
+    Equal values are counted first; running counts come from a range partition:
+    each part's totals are summed, so no group's values meet in one task.
+    """
+    counts = materialize(rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c")).repartitionByRange(by, value).withColumn("part", F.spark_partition_id()), "values")
+    sizes = counts.groupBy(by, "part").agg(F.sum("c").alias("held"))
+    ahead = Window.partitionBy(by).orderBy("part")
+    starts = sizes.select(by, "part", (F.sum("held").over(ahead) - F.col("held")).alias("start"), F.sum("held").over(Window.partitionBy(by)).alias("n"))
+    inside = Window.partitionBy(by, "part").orderBy(value)
+    placed = counts.join(starts, [by, "part"]).withColumn("through", F.col("start") + F.sum("c").over(inside))
+    at = lambda f: (F.col("through") - F.col("c") < f(F.col("n"))) & (f(F.col("n")) <= F.col("through"))
+    return placed.groupBy(by).agg(*[F.max(F.when(at(f), F.col(value))).alias(name) for name, f in places.items()])
+
+
+def bootstrap(rows: DataFrame, by: str, value: str, resamples: int = 2000, seed: int = 20250912) -> DataFrame:
+    """``by``, mean, low and high: percentile bootstrap of each group's mean.
+
+    Resampling n values with replacement is a multinomial over its distinct
+    values, so a group is its counts; each resample draws from the group's own
+    seeded generator, in order of value. A group's distinct values are one task's.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
+
+    def one(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values(value)
+        v, c = pdf[value].to_numpy(float), pdf["c"].to_numpy()
+        n = int(c.sum())
+        means = np.sort(np.random.default_rng(seed).multinomial(n, c / n, resamples) @ v / n)
+        low, high = means[int(np.ceil(0.025 * resamples)) - 1], means[int(np.ceil(0.975 * resamples)) - 1]
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "mean": [round(float(c @ v / n), 6)], "low": [round(float(low), 6)], "high": [round(float(high), 6)]})
+
+    return counts.groupBy(by).applyInPandas(one, f"`{by}` {rows.schema[by].dataType.simpleString()}, mean double, low double, high double")
+
+
+def greedy_matches(gold: DataFrame, predicted: DataFrame, case: str) -> DataFrame:
+    """case, gold id, predicted id and agreement of rules (case, id, fields) matched one to one inside each case.
+
+    Pairs with the highest share of equal fields go first (ties: smallest ids);
+    pairs without a common field never meet: candidates come from a join by
+    field, and only they reach the sequential step of their case.
+    """
+    left, right = (d.select(case, F.col("id").alias(n), "fields") for d, n in ((gold, "g"), (predicted, "p")))
+    field = lambda d, n: d.select(case, n, F.size("fields").alias("k"), F.posexplode("fields").alias("at", "f"))
+    pairs = field(left, "g").join(field(right, "p").drop("k"), [case, "at", "f"]).groupBy(case, "g", "p", "k").agg(F.count(F.lit(1)).alias("same"))
+    scored = pairs.select(case, "g", "p", F.round(F.col("same") / F.col("k"), 6).alias("agreement"))
+
+    def one(pdf):
+        used_g, used_p, keep = set(), set(), []
+        for i, g, p in zip(*(pdf.sort_values(["agreement", "g", "p"], ascending=[False, True, True])[c] for c in ("agreement", "g", "p")), strict=True):
+            if g not in used_g and p not in used_p:
+                used_g.add(g)
+                used_p.add(p)
+                keep.append((pdf[case].iloc[0], g, p, i))
+        import pandas as pd
+
+        return pd.DataFrame(keep, columns=[case, "g", "p", "agreement"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in scored.schema.fields}
+    return scored.groupBy(case).applyInPandas(one, ", ".join(f"`{c}` {kinds[c]}" for c in (case, "g", "p", "agreement")))

@@ -34,11 +34,6 @@ def year_norm(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.academic_year_of(day).alias("first_year"), T.academic_year(F.year(day).cast("string")).alias("academic_year"))
 
 
-@_query("ledger_export", """SELECT d.doc_id, CASE WHEN regexp_matches(lang || source, '^[=+\\-@]') THEN '''' || lang ELSE lang END AS lang, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
-def ledger_export(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", T.csv_safe(F.col("lang")).alias("lang"), "quality", "toxic")
-
-
 @_query("num_extract", r"SELECT event_id, try_cast(nullif(regexp_extract(props, '-?\d+(?:\.\d+)?', 0), '') AS DOUBLE) AS first_number FROM events")
 def num_extract(spark, d):
     return table(spark, d, "events").select("event_id", T.first_number(F.col("props")).alias("first_number"))
@@ -71,37 +66,8 @@ def confusion(spark, d):
     return M.confusion(rows, ["lang"], F.col("quality") == 1, F.col("n_chars") > 500)
 
 
-_COST = """SELECT {by}count(*) AS requests, count(*) FILTER (event_type <> 'view') AS external_calls, count(*) FILTER (value < 5) AS failures, count(*) FILTER (event_type = 'view') AS cache_hits,
-  round((count(*) FILTER (event_type = 'view')) / count(*)::DOUBLE, 6) AS hit_rate, count(DISTINCT user_id) AS subjects, sum(tokens)::BIGINT AS tokens,
-  round((count(*) FILTER (event_type <> 'view' AND tokens IS NOT NULL)) / nullif(count(*) FILTER (event_type <> 'view'), 0)::DOUBLE, 6) AS usage_coverage
-FROM (SELECT *, CASE WHEN value >= 5 THEN CAST(floor(value) AS BIGINT) END AS tokens FROM events) {group}"""
-
-
-def _costs(spark, d):
-    e = table(spark, d, "events")
-    return e.select(
-        F.col("event_type").alias("model"), F.col("user_id").alias("subject"), (F.col("event_type") != "view").alias("external"), (F.col("value") < 5).alias("failed"),
-        (F.col("event_type") == "view").alias("cache_hit"), F.when(F.col("value") >= 5, F.floor("value").cast("long")).alias("tokens"),
-    )
-
-
-@_query("cost_report", _COST.format(by="", group=""))
-def cost_report(spark, d):
-    return M.cost_report(_costs(spark, d), [])
-
-
-@_query("cost_buckets", _COST.format(by="event_type AS model, ", group="GROUP BY event_type"))
-def cost_buckets(spark, d):
-    return M.cost_report(_costs(spark, d), ["model"])
-
-
-@_query("percentiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(median(value), 6) AS median FROM events GROUP BY event_type")
-def percentiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.round(F.percentile("value", 0.5), 6).alias("median"))
-
-
-@_query("snapshot_diff", """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'removed' WHEN doc_id % 11 = 0 THEN 'changed' WHEN doc_id % 5 = 0 THEN 'metadata_only' ELSE 'unchanged' END AS change FROM documents
-UNION ALL SELECT -doc_id - 1, 'added' FROM documents WHERE doc_id % 13 = 0""")
+@_query("snapshot_diff", """WITH o AS (SELECT doc_id, sha256(text) AS h, source FROM documents), n AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'new' ELSE h END AS h, CASE WHEN doc_id % 5 = 0 THEN 'moved' ELSE source END AS source FROM o WHERE doc_id % 7 <> 0 UNION ALL SELECT -doc_id - 1, h, source FROM o WHERE doc_id % 13 = 0)
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN o.h IS DISTINCT FROM n.h THEN 'changed' WHEN o.source IS DISTINCT FROM n.source THEN 'metadata_only' ELSE 'unchanged' END AS change FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def snapshot_diff(spark, d):
     old = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"), "source")
     new = old.where("doc_id % 7 <> 0").select("doc_id", F.when(F.col("doc_id") % 11 == 0, F.lit("new")).otherwise(F.col("h")).alias("h"), F.when(F.col("doc_id") % 5 == 0, F.lit("moved")).otherwise(F.col("source")).alias("source"))
