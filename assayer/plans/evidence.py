@@ -111,7 +111,7 @@ def merge_fill(spark, d):
 
 
 @_query("merge_overlaps", """WITH m AS (SELECT s_suppkey % 20 AS sheet, s_suppkey % 7 AS r0, s_suppkey % 7 + s_nationkey % 4 AS r1, s_nationkey % 9 AS c0, s_nationkey % 9 + s_suppkey % 3 AS c1 FROM supplier)
-SELECT DISTINCT a.sheet, a.r0, a.c0, b.r0 AS other_r0, b.c0 AS other_c0 FROM m a JOIN m b ON a.sheet = b.sheet AND (b.r0, b.c0, b.r1, b.c1) > (a.r0, a.c0, a.r1, a.c1) AND a.r0 <= b.r1 AND b.r0 <= a.r1 AND a.c0 <= b.c1 AND b.c0 <= a.c1""")
+SELECT DISTINCT a.sheet, a.r0, a.c0::BIGINT AS c0, b.r0 AS other_r0, b.c0::BIGINT AS other_c0 FROM m a JOIN m b ON a.sheet = b.sheet AND (b.r0, b.c0, b.r1, b.c1) > (a.r0, a.c0, a.r1, a.c1) AND a.r0 <= b.r1 AND b.r0 <= a.r1 AND a.c0 <= b.c1 AND b.c0 <= a.c1""")
 def merge_overlaps(spark, d):
     s, n = F.col("s_suppkey"), F.col("s_nationkey").cast("long")
     merges = table(spark, d, "supplier").select((s % 20).alias("sheet"), (s % 7).alias("r0"), (s % 7 + n % 4).alias("r1"), (n % 9).alias("c0"), (n % 9 + s % 3).alias("c1"))

@@ -84,7 +84,7 @@ def _decided(spark, d):
     return G.decide(G.lines(G.match(_claims(spark, d), rules)), rules)
 
 
-@_query("claim_ledger", f"WITH {_BASE} SELECT claim_id, student_id, rule_id, grp, score, confidence, CASE WHEN st IN ('year', 'catalog') THEN 'rejected' ELSE st END AS status, counted, reason FROM final")
+@_query("claim_ledger", f"WITH {_BASE} SELECT claim_id, student_id, rule_id, grp, score::BIGINT AS score, confidence, CASE WHEN st IN ('year', 'catalog') THEN 'rejected' ELSE st END AS status, counted, reason FROM final")
 def claim_ledger(spark, d):
     """One line for every claim: its rule, score, confidence, whether it counts and why."""
     return _decided(spark, d).select("claim_id", "student_id", "rule_id", "grp", "score", "confidence", "status", "counted", "reason")

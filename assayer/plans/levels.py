@@ -204,7 +204,7 @@ _RULES_SQL = "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'
 @_query("rule_lookup", f"""WITH {_LEVELS}, c AS (SELECT c_custkey AS id, c_mktsegment AS college, CASE WHEN c_custkey % 2 = 0 THEN '第一' END AS rank FROM customer),
 hits AS (SELECT l.id, r.rid, r.score, row_number() OVER (PARTITION BY l.id ORDER BY r.priority DESC, r.score DESC, r.rid) AS k FROM levels l JOIN c ON l.id = c.id JOIN {_RULES_SQL}
   ON r.level = l.canonical AND r.year = '2024-2025' AND (r.college IS NULL OR r.college = c.college) AND (c.rank IS NULL OR r.rank = c.rank))
-SELECT id, rid AS rule_id, score, k::INTEGER AS position FROM hits""")
+SELECT id, rid AS rule_id, score::BIGINT AS score, k::INTEGER AS position FROM hits""")
 def rule_lookup(spark, d):
     """All rules of a level, year and college (null in the rule: any; null rank asked: any), in rule order."""
     rules = spark.createDataFrame(_RULES, "rid string, year string, college string, level string, rank string, score long, priority long")
