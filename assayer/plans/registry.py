@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.plans import analysis, evidence, gateway, layout, ledger, levels, reports, scoring, search, versions
+from assayer.plans import analysis, evidence, gateway, guards, layout, ledger, levels, reports, scoring, search, versions
 
-_MODULES = (scoring, analysis, evidence, levels, ledger, search, gateway, versions, layout, reports)
+_MODULES = (scoring, analysis, evidence, levels, ledger, search, gateway, versions, layout, reports, guards)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -58,6 +58,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tables/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)  # gone with the driver, so nothing piles up
     return spark.read.schema(schema).parquet(path)
 
 
