@@ -19,12 +19,12 @@ def tumbling_counts(events: DataFrame, ts: str, key: str, width: str, lateness:
     return rows.groupBy(F.window(ts, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
-def workflow_states(events: DataFrame, start: str, moves: list[tuple[str, str, str]], idle_ms: int = 86_400_000) -> DataFrame:
+def workflow_states(events: DataFrame, start: str, moves: list[tuple[str, str, str]], delay: str = "1 hour", idle_ms: int = 30 * 86_400_000) -> DataFrame:
     """task, event_id, state, legal, revision for every event (task, event_id, ts, event) as it arrives.
 
     The state of a task is its name and revision; a batch's events of a task
-    are folded in order of (ts, event_id). A task without events for ``idle_ms``
-    of processing time is forgotten.
+    are folded in order of (ts, event_id). A task is forgotten once the watermark
+    is ``idle_ms`` beyond its last event.
     """
     allowed = {(a, e): b for a, e, b in moves}
 
@@ -42,9 +42,10 @@ def workflow_states(events: DataFrame, start: str, moves: list[tuple[str, str, s
             name, revision = to or name, revision + (to is not None)
             out.append((key[0], r.event_id, name, to is not None, revision))
         state.update((name, revision))
-        state.setTimeoutDuration(idle_ms)
+        last = max(int(r.ts.timestamp() * 1000) for r in rows)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=["task", "event_id", "state", "legal", "revision"])
 
-    return events.groupBy("task").applyInPandasWithState(
-        fold, "task long, event_id long, state string, legal boolean, revision int", "name string, revision int", "append", "ProcessingTimeTimeout"
+    return events.withWatermark("ts", delay).groupBy("task").applyInPandasWithState(
+        fold, "task long, event_id long, state string, legal boolean, revision int", "name string, revision int", "append", "EventTimeTimeout"
     )
