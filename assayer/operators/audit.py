@@ -11,7 +11,8 @@ def audit(rows: DataFrame, key: list[str], checks: dict[str, Column]) -> DataFra
     """rows, repeated keys and the number of rows that fail each check, as one row."""
     repeated = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
     counts = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in checks.items()])
-    return counts.join(repeated)
+    both = counts.unionByName(repeated, allowMissingColumns=True)  # two rows, each with its own numbers
+    return both.agg(*[F.sum(c).alias(c) for c in ("rows", *checks, "repeated")])
 
 
 def upsert(old: DataFrame, new: DataFrame, identity: list[str], key: str, at: str, content: list[str]) -> DataFrame:

@@ -51,7 +51,9 @@ def sum_mode(spark, d):
 
 
 def group_cap(spark, d):
-    return _rules(spark).groupBy("grp").agg(F.max("group_cap").alias("group_cap"))
+    """The greatest cap of each group's rules; rules without one don't count, a group without any has none."""
+    rules = table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.when((F.col("p_size") % 3 > 0) & (F.col("p_brand") != "Brand#11"), F.col("p_size")).cast("long").alias("cap"))
+    return rules.groupBy("grp").agg(F.max("cap").alias("group_cap"))
 
 
 _PART_RULES = [("r1", "ECONOMY", None, 5, 8), ("r2", "PROMO", None, 5, 6), ("r3", "promo", None, 7, 5), ("r4", None, "Brand#1", 1, 3), ("r5", None, "Brand#2", 1, 2), ("r6", "STANDARD", "Brand#3", 2, 4)]
@@ -80,17 +82,6 @@ SELECT claim_id, coalesce(a.id, b.id, c.id) AS rule_id, coalesce(a.score, b.scor
 FROM claims LEFT JOIN bylevel a ON claims.level = a.level_key LEFT JOIN bylevel b ON claims.raw = b.level_key LEFT JOIN bycat c ON claims.category = c.category"""
 
 
-def college_scope(spark, d):
-    """A rule without a nation passes any; the best of those that apply, by (score desc, id)."""
-    rules = spark.createDataFrame([("all", None, 10), ("n3", 3, 12), ("n7", 7, 9)], "id string, nation int, score long")
-    who = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    own = who.join(rules.where("nation is not null"), F.col("s_nationkey") == F.col("nation")).select("s_suppkey", "id", "score")
-    shared = rules.where("nation is null").groupBy().agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b"))
-    best = shared.first()["b"]  # one row: the best of the rules for everyone
-    every = who.select("s_suppkey", F.lit(best["id"]).alias("id"), F.lit(-best["s"]).alias("score"))
-    return own.unionByName(every).groupBy("s_suppkey").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b")).select("s_suppkey", F.col("b.id").alias("rule_id"), (-F.col("b.s")).alias("score"))
-
-
 def exclusive_groups(spark, d):
     names = ["urgent", "high", "medium", "low"]
     keys = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]
@@ -105,15 +96,14 @@ SELECT student_id, CAST(greatest(u + m, h) + l AS BIGINT) AS total_x100 FROM wid
 
 QUERIES = {
     "score_ledger": score_ledger, "take_max": take_max_lines, "sum_mode": sum_mode, "group_cap": group_cap,
-    "match_cascade": match_cascade, "college_scope": college_scope, "exclusive_mask": exclusive_groups,
+    "match_cascade": match_cascade, "exclusive_mask": exclusive_groups,
 }
 ORACLES = {
     "score_ledger": _WINNERS + """ SELECT w.student_id, count(*)::BIGINT AS groups_counted, any_value(n)::BIGINT AS claims, sum(least(score, coalesce(group_cap * 100, 1000000000)))::BIGINT AS total_x100
       FROM winners w JOIN (SELECT student_id, count(*) AS n FROM lines GROUP BY 1) c ON c.student_id = w.student_id GROUP BY w.student_id""",
     "take_max": _WINNERS + " SELECT student_id, grp, claim_id, score::BIGINT AS score FROM winners",
     "sum_mode": f"WITH {_LINES} SELECT student_id, grp, sum(score)::BIGINT AS score FROM lines GROUP BY 1, 2",
-    "group_cap": f"SELECT grp, max(group_cap)::BIGINT AS group_cap FROM {_RULES_SQL} GROUP BY grp",
+    "group_cap": "SELECT p_brand AS grp, (max(p_size) FILTER (p_size % 3 > 0 AND p_brand <> 'Brand#11'))::BIGINT AS group_cap FROM part GROUP BY p_brand",
     "match_cascade": _CASCADE,
-    "college_scope": """SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN 'n3' ELSE 'all' END AS rule_id, CAST(CASE WHEN s_nationkey = 3 THEN 12 ELSE 10 END AS BIGINT) AS score FROM supplier""",
     "exclusive_mask": _EXCLUSIVE,
 }
