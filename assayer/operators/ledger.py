@@ -14,8 +14,6 @@ require_catalog, priority, exclusive_with) with a null college fits any college.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window

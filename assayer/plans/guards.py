@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.functions import guards as D
-from assayer.functions import text as T
 from assayer.operators import audit as A
 from assayer.plans.ledger import _BASE, _decided, _rules
 from assayer.session import table
