@@ -281,6 +281,10 @@ class Units:
         self.bytes = np.array(vocabulary.byte, np.int64)
         small = {"many": np.uint8} | dict.fromkeys(("id", "node", "end"), np.int32) | dict.fromkeys(("prob", "rest"), np.float64)
         self.kinds = dict.fromkeys(("nodes", "node0", "first", "log"), np.int64) | small
+        self.release()
+
+    def release(self) -> None:
+        """Forget all, memory included: a worker may idle beside other stages for long."""
         for name, kind in self.kinds.items():
             setattr(self, name, np.empty(0, kind))
         self.clear()
@@ -565,18 +569,21 @@ def sample(
             arrays = [pa.array(name, pa.int64()), pa.array(at, pa.int32()), lists, pa.array(log, pa.float64()), pa.array(key, pa.float64()), pa.array(inclusion, pa.float64()), decoded]
             return finish(pa.RecordBatch.from_arrays(arrays, names=["id", "sample", "ids", "log_prob", "gumbel", "inclusion", "decoded"]))
 
-        for batch in batches:
-            ids, texts, size = [], [], 0
-            for row, value in zip(batch.column("id"), batch.column("text"), strict=True):  # one text at a time, not the batch
-                text = value.as_py()
-                ids.append(row.as_py())
-                texts.append(text)
-                size += len(text)
-                if size >= BATCH_CHARS:
+        try:
+            for batch in batches:
+                ids, texts, size = [], [], 0
+                for row, value in zip(batch.column("id"), batch.column("text"), strict=True):  # one text at a time, not the batch
+                    text = value.as_py()
+                    ids.append(row.as_py())
+                    texts.append(text)
+                    size += len(text)
+                    if size >= BATCH_CHARS:
+                        yield some(ids, texts)
+                        ids, texts, size = [], [], 0
+                if ids:
                     yield some(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield some(ids, texts)
+        finally:
+            units.release()
 
     return source.mapInArrow(run, schema)
 
