@@ -37,7 +37,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession

@@ -96,6 +96,35 @@ def test_keep_one_finds_planted_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(10 * g + k for g in range(60) for k in (0, 9))
 
 
+@pytest.mark.parametrize(("seed", "edits"), [(1, 3), (2, 14), (3, 30)])
+def test_large_components_by_brute_force(spark, monkeypatch, seed, edits):
+    """Groups of near copies, tight or drawn out into chains, measured against pivots first: the exact components come out."""
+    monkeypatch.setattr(near_copies, "LARGE", 4)
+    rnd = random.Random(seed)
+    rows = []
+    for group in range(3):
+        words = [f"w{rnd.randrange(4000)}" for _ in range(150)]
+        for k in range(40):
+            copy = list(words)
+            for at in rnd.sample(range(150), rnd.randrange(edits)):
+                copy[at] = f"n{rnd.randrange(4000)}"
+            if seed == 3 and rnd.random() < 0.3:  # the next copies are made from this one
+                words = copy
+            rows.append((group * 100 + k, " ".join(copy)))
+    rnd.shuffle(rows)
+    sets = [near_copies.shingles(t.encode()) for _, t in rows]
+    first: dict = {}
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) and root(first, i) != root(first, j):
+                first[max(root(first, i), root(first, j))] = min(root(first, i), root(first, j))
+    groups = collections.defaultdict(list)
+    for i, (name, _) in enumerate(rows):
+        groups[root(first, i)].append(name)
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(map(min, groups.values()))
+
+
 def test_exact_groups_by_brute_force():
     rnd = np.random.default_rng(4)
     for _ in range(30):
@@ -206,6 +235,27 @@ def test_png_filters_and_faults():
             media.decode_png(bad)
 
 
+@pytest.mark.parametrize("height", [1, 5, 32, 77])
+def test_cosine_hash_by_definition(height):
+    """Area means by overlaps of the cells, cosine sums one by one, bits above the median."""
+    rnd = np.random.default_rng(height)
+    rows = rnd.integers(0, 256, (height, 3 * media.WIDTH), dtype=np.uint8)
+    grey = [[299 * int(r[3 * x]) + 587 * int(r[3 * x + 1]) + 114 * int(r[3 * x + 2]) for x in range(media.WIDTH)] for r in rows]
+
+    def overlaps(n):  # of each of 32 equal stretches with each of n cells
+        return [[max(0.0, min((k + 1) * n / 32, i + 1) - max(k * n / 32, i)) * 32 / n for i in range(n)] for k in range(32)]
+
+    down, across = overlaps(height), overlaps(media.WIDTH)
+    half = [[sum(down[k][y] * grey[y][x] for y in range(height)) for x in range(media.WIDTH)] for k in range(32)]
+    small = [[sum(across[k][x] * row[x] for x in range(media.WIDTH)) / 1000 for k in range(32)] for row in half]
+    wave = lambda k, x: math.cos(math.pi * (2 * x + 1) * k / 64)
+    low = [round(sum(small[y][x] * wave(k, y) * wave(m, x) for y in range(32) for x in range(32)), 6) for k in range(8) for m in range(8)]
+    middle = (sorted(low)[31] + sorted(low)[32]) / 2
+    bits = [v > middle for v in low]
+    want = bytes(sum(bits[8 * k + j] << (7 - j) for j in range(8)) for k in range(8))
+    assert media.cosine_hash(rows) == want
+
+
 def test_media_odd_inputs(odd, none):
     got = media.read_back(media.media_columns(odd.select("doc_id", "text"))).toPandas()
     assert len(got) == 7 and (got.payload_bytes % 192 == 0).all() and got[got.doc_id.isin([3, 4])].media_sha256.nunique() == 1
