@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql.window import Window
 from assayer.session import materialize
 
 Z = 1.959963984540054
+#: Up to so many choices of places are looked up one by one when rules are matched.
+SUBSETS = 64
 
 
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
@@ -139,25 +142,120 @@ def bootstrap(rows: DataFrame, by: str, value: str, resamples: int = 2000, seed:
 def greedy_matches(gold: DataFrame, predicted: DataFrame, case: str) -> DataFrame:
     """case, gold id, predicted id and agreement of rules (case, id, fields) matched one to one inside each case.
 
-    Pairs with the highest share of equal fields go first (ties: smallest ids);
-    pairs without a common field never meet: candidates come from a join by
-    field, and only they reach the sequential step of their case.
+    Pairs with the highest share of the gold rule's fields that are equal go
+    first (ties: smallest ids, null last); pairs without a common field, null
+    fields and null cases never match; of rows with one id the best matches. The
+    sequential step of a case holds its rules and never lists their pairs (``_match``).
     """
-    left, right = (d.select(case, F.col("id").alias(n), "fields") for d, n in ((gold, "g"), (predicted, "p")))
-    field = lambda d, n: d.select(case, n, F.size("fields").alias("k"), F.posexplode("fields").alias("at", "f"))
-    pairs = field(left, "g").join(field(right, "p").drop("k"), [case, "at", "f"]).groupBy(case, "g", "p", "k").agg(F.count(F.lit(1)).alias("same"))
-    scored = pairs.select(case, "g", "p", F.round(F.col("same") / F.col("k"), 6).alias("agreement"))
+    sides = [d.where(F.col(case).isNotNull()).select(case, F.col("id").alias(n), F.col("fields").alias(f"{n}_fields")) for d, n in ((gold, "g"), (predicted, "p"))]
+    kinds = {f.name: f.dataType.simpleString() for side in sides for f in side.schema.fields}
 
-    def one(pdf):
-        used_g, used_p, keep = set(), set(), []
-        for i, g, p in zip(*(pdf.sort_values(["agreement", "g", "p"], ascending=[False, True, True])[c] for c in ("agreement", "g", "p")), strict=True):
-            if g not in used_g and p not in used_p:
-                used_g.add(g)
-                used_p.add(p)
-                keep.append((pdf[case].iloc[0], g, p, i))
-        import pandas as pd
+    def one(left, right):
+        import pyarrow as pa
+
+        g, p, agreement = _match(*(side[n].combine_chunks() for side, n in ((left, "g"), (left, "g_fields"), (right, "p"), (right, "p_fields"))), subsets)
+        return pa.table({case: left[case].take(pa.array([0] * len(g), pa.int64())), "g": g, "p": p, "agreement": agreement})
+
+    subsets = SUBSETS
+    left, right = (side.groupBy(case) for side in sides)
+    return left.cogroup(right).applyInArrow(one, f"`{case}` {kinds[case]}, g {kinds['g']}, p {kinds['p']}, agreement double")
+
+
+def _coded(ids, fields, codes, width: int):
+    """Distinct ids in order, and in that order the rows' places among them, their numbers of fields and their fields' codes (-1: none)."""
+    import numpy as np
+    import pyarrow.compute as pc
 
-        return pd.DataFrame(keep, columns=[case, "g", "p", "agreement"])
+    order = pc.sort_indices(ids).to_numpy()
+    sorted_ids = ids.take(order)
+    coded = sorted_ids.dictionary_encode(null_encoding="encode")
+    size = pc.fill_null(pc.list_value_length(fields), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    table = np.full((len(size), width), -1, np.int64)
+    table[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = codes
+    return coded.dictionary, coded.indices.to_numpy(), size[order], table[order]
 
-    kinds = {f.name: f.dataType.simpleString() for f in scored.schema.fields}
-    return scored.groupBy(case).applyInPandas(one, ", ".join(f"`{c}` {kinds[c]}" for c in (case, "g", "p", "agreement")))
+
+def _keyed(left, right, places: tuple[int, ...]):
+    """One number for each combination of codes at ``places`` on both sides, the same for equal ones; -1 where one is missing."""
+    import numpy as np
+
+    both = np.concatenate([left, right])
+    key = np.zeros(len(both), np.int64)
+    for at in places:
+        key = np.unique(key * (both[:, at].max(initial=0) + 2) + both[:, at] + 1, return_inverse=True)[1]
+    key[(both[:, list(places)] < 0).any(axis=1)] = -1
+    return key[: len(left)], key[len(left) :]
+
+
+def _match(g_ids, g_fields, p_ids, p_fields, subsets: int = SUBSETS):
+    """Gold ids, predicted ids and agreements of one case, level by level of agreement.
+
+    When a level's turn comes, no free pair agrees more. So gold rules are taken
+    in order, and each takes the first free predicted rule that equals it at
+    some s places, s being the level's. The predicted rules are held in order by
+    their values at every s places, and what has been taken is stepped over
+    once. Where more than ``subsets`` choices of s among k places exist, k - s + 1
+    blocks of places are used, one of which must be equal throughout, and what
+    they find is compared.
+    """
+    from math import comb
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    flat = pa.concat_arrays([pc.list_flatten(g_fields), pc.list_flatten(p_fields)]).dictionary_encode()
+    codes = pc.fill_null(flat.indices, -1).to_numpy(zero_copy_only=False)
+    cut = len(pc.list_flatten(g_fields))
+    width = max([0, *(pc.max(pc.list_value_length(f)).as_py() or 0 for f in (g_fields, p_fields))])
+    g_names, g_at, g_size, g_codes = _coded(g_ids, g_fields, codes[:cut], width)
+    p_names, p_at, _, p_codes = _coded(p_ids, p_fields, codes[cut:], width)
+    g_free, p_free = np.ones(len(g_names), bool), np.ones(len(p_names), bool)
+    found: list[tuple[int, int, float]] = []
+    levels: dict[int, dict[int, int]] = {}
+    for k in np.unique(g_size[g_size > 0]).tolist():
+        for s in range(1, k + 1):
+            levels.setdefault((2_000_000 * s + k) // (2 * k), {})[k] = s  # the agreement in millionths, rounded
+    for level, parts in sorted(levels.items(), reverse=True):
+        rows = np.flatnonzero(g_free[g_at] & np.isin(g_size, list(parts)))
+        others = np.flatnonzero(p_free[p_at])
+        if not len(rows) or not len(others):
+            continue
+        ways = []
+        for k, s in parts.items():
+            sure = comb(k, s) <= subsets
+            for places in combinations(range(k), s) if sure else [tuple(range(b, k, k - s + 1)) for b in range(k - s + 1)]:
+                asked, held = _keyed(g_codes[rows], p_codes[others], places)
+                asked[g_size[rows] != k] = -1
+                order = np.argsort(held, kind="stable")
+                starts = np.searchsorted(held[order], np.arange(max(asked.max(initial=-1), held.max(initial=-1)) + 2))
+                if (asked >= 0).any():
+                    ways.append((asked.tolist(), starts[:-1].tolist(), starts[1:].tolist(), others[order].tolist(), 0 if sure else s, k))
+        g_of, p_of, taken_g, taken_p = g_at[rows].tolist(), p_at.tolist(), set(), set()
+        for i, g in enumerate(g_of):
+            if g in taken_g:
+                continue
+            best = len(p_at)
+            for asked, head, end, order, least, k in ways:
+                key = asked[i]
+                if key < 0:
+                    continue
+                at, stop = head[key], end[key]
+                while at < stop and p_of[order[at]] in taken_p:
+                    at += 1
+                head[key] = at
+                if least:
+                    own = g_codes[rows[i], :k]
+                    while at < stop and order[at] < best and (p_of[order[at]] in taken_p or np.count_nonzero((p_codes[order[at], :k] == own) & (own >= 0)) < least):
+                        at += 1
+                if at < stop and order[at] < best:
+                    best = order[at]
+            if best < len(p_at):
+                taken_g.add(g)
+                taken_p.add(p_of[best])
+                found.append((g, p_of[best], level / 1e6))
+        g_free[list(taken_g)] = False
+        p_free[list(taken_p)] = False
+    g, p, agreement = ([row[c] for row in found] for c in range(3))
+    return g_names.take(pa.array(g, pa.int64())), p_names.take(pa.array(p, pa.int64())), pa.array(agreement, pa.float64())

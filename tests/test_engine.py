@@ -258,3 +258,48 @@ def test_streams_agree_with_batches(spark, stream):
         revisions = [r["revision"] for r in got if r["task"] == user]
         assert max(revisions) <= 2 and sum(r["legal"] for r in got if r["task"] == user) == max(revisions)
     assert fold(task(events), "task", ["ts", "event_id"], "pending", moves).count() == events.count()
+
+
+# --- Rules matched one to one
+
+
+def matched_by_brute_force(gold, predicted):
+    pairs = []
+    for case, g, fields in gold:
+        for other, p, values in predicted:
+            same = sum(a == b and a is not None for a, b in zip(fields, values, strict=False))
+            if case == other and case is not None and same:
+                pairs.append((-round(same / len(fields), 6), g, p, case))
+    used, out = set(), []
+    for agreement, g, p, case in sorted(pairs):
+        if (case, "g", g) not in used and (case, "p", p) not in used:
+            used |= {(case, "g", g), (case, "p", p)}
+            out.append((case, g, p, -agreement))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("subsets", [64, 1])
+def test_greedy_matches_by_brute_force(spark, monkeypatch, subsets):
+    """Rules of one to five fields, some null, equal ids and null cases, found by every choice of places or by blocks of them."""
+    from assayer.operators import metrics
+
+    monkeypatch.setattr(metrics, "SUBSETS", subsets)
+    rnd = random.Random(7)
+    rule = lambda at: (rnd.choice([1, 2, 3, None]), at, [rnd.choice(["a", "b", "c", None]) for _ in range(rnd.randrange(1, 6))])
+    gold, predicted = [rule(k) for k in range(150)], [rule(k) for k in range(130)] + [(3, 5, ["a", "b", "c"]), (4, 1, ["a"])]
+    frames = [spark.createDataFrame(rows + [(2, 900 + len(rows), None)], "case long, id long, fields array<string>").repartition(3) for rows in (gold, predicted)]
+    got = sorted((r["case"], r["g"], r["p"], r["agreement"]) for r in metrics.greedy_matches(*frames, "case").collect())
+    assert got == matched_by_brute_force(gold, predicted)
+    assert metrics.greedy_matches(frames[0].where("false"), frames[1], "case").count() == 0
+
+
+def test_greedy_matches_list_no_pairs():
+    """20,000 rules on each side that all agree in a field, 400 million pairs, are matched in their order."""
+    import pyarrow as pa
+
+    from assayer.operators.metrics import _match
+
+    n = 20_000
+    ids, fields = pa.array(range(n)), [pa.array([["same", f"{side}{k}"] for k in range(n)]) for side in "gp"]
+    g, p, agreement = _match(ids, fields[0], ids, fields[1])
+    assert g.equals(ids) and p.equals(ids) and set(agreement.to_pylist()) == {0.5}
