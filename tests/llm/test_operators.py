@@ -125,6 +125,82 @@ def test_large_components_by_brute_force(spark, monkeypatch, seed, edits):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(map(min, groups.values()))
 
 
+def test_near_copy_fingerprints_by_definition():
+    """Bits set in over half of the hashes, which for each of the fingerprints are the set's own, stirred with another seed."""
+
+    def stirred(h, seed):
+        x = h ^ seed
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    rnd = random.Random(3)
+    for n in (1, 2, 5, 254, 255, 256, 600):
+        hashes = [rnd.getrandbits(64) for _ in range(n)]
+        want = []
+        for seed in near_copies._SEEDS.tolist():
+            each = [stirred(h, seed) for h in hashes]
+            want.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in each) > n))
+        assert np.frombuffer(near_copies.fingerprints(np.array(hashes, np.uint64)), "<u8").shape == (near_copies.WORDS,)
+        assert near_copies.fingerprints(np.array(hashes, np.uint64)) == packed(want)
+    assert near_copies.fingerprints(np.zeros(0, np.uint64)) is None
+
+
+def packed(words):
+    """Fingerprints as bytes whose first bit is the highest."""
+    return b"".join(w.to_bytes(8, "little") for w in words)
+
+
+@pytest.mark.parametrize(("size", "small", "block"), [(7, 16, 1 << 18), (300, 16, 1 << 18), (300, 2, 64)])
+def test_near_copy_links_span_all_near_pairs_of_a_bucket(monkeypatch, size, small, block):
+    """Tight clusters, chains and strangers in buckets that batches cut anywhere: the components are those of all pairs."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_copies, "_SMALL", small)
+    monkeypatch.setattr(near_copies, "_BLOCK", block)
+    rnd = random.Random(size)
+    rows = []
+    for bucket in range(6):
+        bits = [rnd.getrandbits(128) for _ in range(3)]
+        for _ in range(rnd.randrange(size // 2, size)):
+            k = rnd.randrange(3)
+            one = bits[k] ^ sum(1 << b for b in rnd.sample(range(128), rnd.randrange(30)))
+            bits[k] = one if k == 0 else bits[k]
+            rows.append((bucket, one & (2**64 - 1), one >> 64, len(rows) - 5))
+    bucket, x, y, node = (np.array(c, d) for c, d in zip(zip(*rows, strict=True), (np.int32, np.uint64, np.uint64, np.int64), strict=True))
+    whole = pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(node)], names=["bucket", "x", "y", "node"])
+    for width in (1, 50, len(rows)):
+        found: dict = {}
+        edges = [(a, b) for out in near_copies._link(whole.slice(at, width) for at in range(0, len(rows), width)) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
+        assert all(a < b for a, b in edges) and len(edges) < max(small, 16) * len(rows)
+        for a, b in edges:
+            if root(found, a) != root(found, b):
+                found[max(root(found, a), root(found, b))] = min(root(found, a), root(found, b))
+        want: dict = {}
+        for i, (k, *first, a) in enumerate(rows):
+            for other, *second, b in rows[:i]:
+                if k == other and sum((p ^ q).bit_count() for p, q in zip(first, second, strict=True)) <= near_copies.RADIUS and root(want, a) != root(want, b):
+                    want[max(root(want, a), root(want, b))] = min(root(want, a), root(want, b))
+        assert [root(found, r[3]) for r in rows] == [root(want, r[3]) for r in rows]
+
+
+def test_near_copies_at_the_threshold_meet_by_fingerprints():
+    """Pairs of sets at 0.8 share a piece and are near by their first bits; those with a twentieth in common are not."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+
+    def linked(common, own):
+        h = rng.integers(0, 2**64, common + 2 * own, dtype=np.uint64)
+        prints = [near_copies.fingerprints(h[: common + own]), near_copies.fingerprints(np.r_[h[:common], h[common + own :]])]
+        rows = pa.Table.from_batches(near_copies._pieces([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(prints)], names=["node", "prints"])]))
+        assert len(rows) == 2 * near_copies.PIECES
+        return sum(len(out) for out in near_copies._link(rows.sort_by("bucket").to_batches())) > 0
+
+    assert sum(linked(80, 10) for _ in range(400)) >= 399
+    assert sum(linked(5, 45) for _ in range(400)) == 0
+
+
 def test_exact_groups_by_brute_force():
     rnd = np.random.default_rng(4)
     for _ in range(30):
@@ -855,3 +931,15 @@ def test_pipeline_stages(spark, data):
     rows = C.run(spark, data).toPandas()
     assert set(rows["sample"]) <= {1, 2} and set(rows.doc_id) <= {r["doc_id"] for r in kept.collect()}
     assert len(C.STAGES) == 5
+
+
+def test_pipeline_decodes_what_it_samples(spark, data):
+    """The last stage gives the text of each sample's pieces, as the library decodes them."""
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(40).unionByName(spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "日本 x=é", "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars long").select("doc_id", "text", "lang", "source", F.col("n_chars").cast(dict(spark.read.parquet(f"{data}/documents.parquet").dtypes)["n_chars"]).alias("n_chars")))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    model = lattice.model(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = C.sample_pieces(spark, docs, data).collect()
+    assert {r["doc_id"] for r in rows} == set(texts)
+    assert all(r["decoded"] == texts[r["doc_id"]] == model.decode(list(r["ids"])) for r in rows)
