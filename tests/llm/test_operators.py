@@ -184,6 +184,44 @@ def test_near_copy_links_span_all_near_pairs_of_a_bucket(monkeypatch, size, smal
         assert [root(found, r[3]) for r in rows] == [root(want, r[3]) for r in rows]
 
 
+@pytest.mark.parametrize("size", [8, 16, 40])
+def test_near_copy_links_are_fewer_than_the_texts(size):
+    """Buckets full of near copies give a star to the smallest text, not a row for each pair; buckets read together give it once (the last one is read by itself)."""
+    import pyarrow as pa
+
+    nodes = random.Random(size).sample(range(-500, 500), size)
+    columns = [np.repeat(np.arange(3, dtype=np.int32), size), np.zeros(3 * size, np.int64), np.zeros(3 * size, np.int64), np.array(3 * nodes)]
+    out = pa.Table.from_batches(near_copies._link([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "x", "y", "node"])]))
+    assert sorted(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)) == [(min(nodes), b) for b in sorted(nodes)[1:] for _ in range(2)]
+
+
+def test_near_copy_edges_grow_with_the_texts_of_a_group(spark, monkeypatch):
+    """What the components are joined from is a few rows a text, in a group of 100 near copies as in one of 400."""
+    rnd = random.Random(21)
+    words = [f"w{rnd.randrange(4000)}" for _ in range(200)]
+    made, joined = [], near_copies.star_components
+    monkeypatch.setattr(near_copies, "star_components", lambda edges: made.append(edges.count()) or joined(edges))
+    for size in (100, 400):
+        rows = [(k, " ".join(f"n{rnd.randrange(4000)}" if i in spots else w for i, w in enumerate(words))) for k in range(size) for spots in [{rnd.randrange(200)}]]
+        assert [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()] == [0]
+    assert made[0] < 4 * 100 and made[1] < 4 * 400
+
+
+def test_hubs_met_keep_the_components(spark):
+    """Random stars, chains of hubs among them: the same components, a < b, and no repeated edge."""
+    rnd = random.Random(4)
+    for many in (0, 1, 40, 120):
+        stars = [tuple(sorted(rnd.sample(range(-40, 60), 2))) for _ in range(many)]
+        got = [(r["a"], r["b"]) for r in near_copies._hubs_met(spark.createDataFrame(stars, "a long, b long")).collect()]
+        assert all(a < b for a, b in got) and len(set(got)) == len(got)
+        found: list[dict] = [{}, {}]
+        for first, edges in zip(found, (stars, got), strict=True):
+            for a, b in edges:
+                if root(first, a) != root(first, b):
+                    first[max(root(first, a), root(first, b))] = min(root(first, a), root(first, b))
+        assert [root(found[0], x) for x in range(-40, 60)] == [root(found[1], x) for x in range(-40, 60)]
+
+
 def test_near_copies_at_the_threshold_meet_by_fingerprints():
     """Pairs of sets at 0.8 share a piece and are near by their first bits; those with a twentieth in common are not."""
     import pyarrow as pa
